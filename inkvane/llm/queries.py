@@ -5,13 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import read_table
-from . import forms, similarity
+from . import forms, similarity, units
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return similarity.near_duplicate_pairs(read_table(spark, folder, "records"))
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return units.straddling(read_table(spark, folder, "records"))
+
+
+def p2_assignment(spark: SparkSession, folder: str) -> DataFrame:
+    return units.assign_splits(read_table(spark, folder, "records"), read_table(spark, folder, "split_targets"))
+
+
+def p2_report(spark: SparkSession, folder: str) -> DataFrame:
+    return units.split_report(p2_assignment(spark, folder), read_table(spark, folder, "split_targets"))
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return forms.same_form_pairs(read_table(spark, folder, "records"))
 
