@@ -92,12 +92,12 @@ def expand(lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices(col, most: int = 1 << 20):
-    """Row ranges (start, stop) of a string column with about `most` bytes each, at least one row."""
+    """Row ranges (start, stop) of a string column with about `most` bytes each, at least one and at most 65,536 rows."""
     n = len(col)
     if not n:
         return
     sizes = np.asarray(pa.compute.binary_length(col).fill_null(0).to_numpy(zero_copy_only=False), np.int64)
-    part = np.cumsum(sizes) // most
+    part = np.cumsum(sizes + most // 65536) // most
     cuts = np.flatnonzero(np.diff(part)) + 1
     yield from zip(np.concatenate(([0], cuts)), np.concatenate((cuts, [n])))
 

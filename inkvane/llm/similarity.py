@@ -69,15 +69,14 @@ def run_hashes(cps: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def distinct_runs(cps, off):
-    """The same, distinct within each row and sorted by row, then hash: (row, hash, offsets)."""
+    """The distinct runs of each row by row, then hash (48 bits): (row, row << 48 | hash, offsets). At most 65,536 rows."""
     row, h = run_hashes(cps, off)
     rows = len(off) - 1
-    order = np.lexsort((h, row))
-    row, h = row[order], h[order]
-    first = np.ones(len(h), bool)
-    first[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
-    row, h = row[first], h[first]
-    return row, h, np.concatenate(([0], np.cumsum(np.bincount(row, minlength=rows))))
+    x = np.sort(row.astype(np.uint64) << np.uint64(48) | h >> np.uint64(16))
+    if len(x):
+        x = x[np.concatenate(([True], x[1:] != x[:-1]))]
+    row = (x >> np.uint64(48)).astype(np.int64)
+    return row, x, np.concatenate(([0], np.cumsum(np.bincount(row, minlength=rows))))
 
 
 def size_band(n: np.ndarray) -> np.ndarray:
@@ -313,18 +312,15 @@ def _jaccard(text_a, text_b, threshold):
         maps = []
         for row, h, _ in sets:
             m = np.zeros((j - i, BITMAP_BITS // 8), np.uint8)
-            bit = (h >> np.uint64(64 - int(BITMAP_BITS).bit_length() + 1)).astype(np.int64)
+            bit = (h & np.uint64(BITMAP_BITS - 1)).astype(np.int64)
             np.bitwise_or.at(m, (row, bit >> 3), np.uint8(1) << (bit & 7).astype(np.uint8))
             maps.append(m)
         apart = np.bitwise_count(maps[0] ^ maps[1]).sum(1, dtype=np.int64)
         may = (n[0] + n[1] - apart) // 2 >= need
         pick = [may[row] for row, _, _ in sets]
-        x = np.concatenate([s[1][p] for s, p in zip(sets, pick)])
-        row = np.concatenate([s[0][p] for s, p in zip(sets, pick)])
-        order = np.lexsort((x, row))
-        x, row = x[order], row[order]
-        same = np.flatnonzero((x[1:] == x[:-1]) & (row[1:] == row[:-1]))
-        both = np.bincount(row[same], minlength=j - i)
+        x = np.sort(np.concatenate([s[1][p] for s, p in zip(sets, pick)]), kind="stable")  # two sorted arrays are merged
+        same = x[1:][x[1:] == x[:-1]]
+        both = np.bincount((same >> np.uint64(48)).astype(np.int64), minlength=j - i)
         out[i:j] = both / np.maximum(n[0] + n[1] - both, 1)
     return out
 
