@@ -8,7 +8,7 @@ characters of the compared form (textform.compared).
    similarity s share a super-run with probability s**SPAN, so texts at the
    threshold share about BANDS * threshold**SPAN of them, and texts that only
    have stock phrases in common share none.
-2. Super-runs are shuffled as packed arrays (about 7 bytes each), not as rows.
+2. Super-runs are shuffled as packed arrays (about 6 bytes each), not as rows.
    A tile holds the super-runs of one key range; in it, texts with an equal
    super-run and sizes in bands near enough for the threshold meet.
    Exact copies are one text there, so copies cost nothing.
@@ -37,9 +37,10 @@ SPAN = 4
 BANDS = 112
 MEETINGS = 2
 PERMUTATIONS, BINS = 4, 16
-KEY_BITS = 40
+KEY_BITS = 35
 BITMAP_BITS = 2048
 FLUSH = 2_000_000
+FILLER = 0xFFFFFFFF
 
 
 @functools.lru_cache(maxsize=1)
@@ -132,22 +133,37 @@ def super_runs(mins: np.ndarray) -> np.ndarray:
 
 def doc_word(class_hash: np.ndarray, size: np.ndarray) -> np.ndarray:
     """28 bits of the class hash and the size band. Two classes may have one word; both are then looked at."""
-    return ((class_hash >> np.uint64(36)) << np.uint64(4)).astype(np.uint32) | size_band(size)
+    word = ((class_hash >> np.uint64(36)) << np.uint64(4)).astype(np.uint32) | size_band(size)
+    return np.where(word == FILLER, np.uint32(15), word)
 
 
-def pack(key: np.ndarray, doc: np.ndarray) -> bytes:
-    """Sorted keys as gaps of 3 to 5 bytes in byte planes, then the documents."""
+def _fill(gap: np.ndarray, value: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
+    """Gaps over `top` are led up to by fillers of gap `top` without a value."""
+    extra = (gap // np.uint64(top)).astype(np.int64)
+    if not extra.any():
+        return gap, value
+    which, place = cp.expand(extra + 1)
+    last = place == extra[which]
+    return np.where(last, gap[which] - (extra[which] * top).astype(np.uint64), np.uint64(top)), np.where(last, value[which], FILLER)
+
+
+def pack(key: np.ndarray, value: np.ndarray) -> bytes:
+    """Sorted keys as gaps in byte planes, of the width that takes least room, then a 4-byte value each."""
     gap = np.diff(key, prepend=np.uint64(0))
-    width = next(w for w in (3, 4, 5, 6) if w == 6 or int(gap.max()) < 1 << 8 * w)
+    cost = {w: (len(gap) + int((gap // np.uint64(256**w - 1)).sum())) * (w + 4) for w in (1, 2, 3, 4, 5, 6)}
+    width = min(cost, key=cost.get)
+    gap, value = _fill(gap, value, 256**width - 1)
     planes = gap.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
-    return b"".join((np.array([len(key)], "<u4").tobytes(), bytes([width]), np.ascontiguousarray(planes.T).tobytes(), doc.astype("<u4").tobytes()))
+    return b"".join((np.array([len(gap)], "<u4").tobytes(), bytes([width]), np.ascontiguousarray(planes.T).tobytes(), value.astype("<u4").tobytes()))
 
 
 def unpack(block: bytes) -> tuple[np.ndarray, np.ndarray]:
     n, width = int(np.frombuffer(block, "<u4", 1)[0]), block[4]
     planes = np.zeros((n, 8), np.uint8)
     planes[:, :width] = np.frombuffer(block, np.uint8, n * width, 5).reshape(width, n).T
-    return np.cumsum(planes.view("<u8").ravel(), dtype=np.uint64), np.frombuffer(block, "<u4", n, 5 + n * width)
+    key, value = np.cumsum(planes.view("<u8").ravel(), dtype=np.uint64), np.frombuffer(block, "<u4", n, 5 + n * width)
+    real = value != FILLER
+    return (key, value) if real.all() else (key[real], value[real])
 
 
 def _emit(keys, docs, side, buckets):
@@ -229,8 +245,8 @@ def _sorted_unique(parts):
     return key[new], doc[new]
 
 
-def _tiles(batches):
-    held = {}
+def _tiles(batches, parts):
+    held, pairs = {}, []
     for batch in batches:
         for bucket, side, block in zip(*(batch.column(k).to_pylist() for k in range(3))):
             held.setdefault(bucket, {}).setdefault(side, []).append(block)
@@ -243,9 +259,53 @@ def _tiles(batches):
         else:
             continue
         for a, b in met:
-            pair, times = np.unique(a.astype(np.uint64) << np.uint64(32) | b, return_counts=True)
-            if len(pair):
-                yield pa.RecordBatch.from_arrays([pa.array(pair.view(np.int64)), pa.array(times.astype(np.int32))], ["pair", "times"])
+            pairs.append(a.astype(np.uint64) << np.uint64(32) | b)
+            if sum(map(len, pairs)) >= FLUSH:
+                yield _scatter(pairs, parts)
+                pairs = []
+    if pairs:
+        yield _scatter(pairs, parts)
+
+
+def _scatter(pairs, parts):
+    """Pairs as packed blocks, one for each part: those with the same hash go to one part."""
+    pair, times = np.unique(np.concatenate(pairs), return_counts=True)
+    part = (cp.mix(pair) % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    pair, times = pair[order], times[order].astype(np.uint32)
+    edges = np.searchsorted(part[order], np.arange(parts + 1))
+    some = [p for p in range(parts) if edges[p] < edges[p + 1]]
+    blocks = []
+    for p in some:
+        x, t = pair[edges[p] : edges[p + 1]], times[edges[p] : edges[p + 1]]
+        once = t < MEETINGS
+        blocks.append(pack_pairs(x[once]) + pack_pairs(x[~once]))
+    return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(blocks, pa.binary())], ["part", "block"])
+
+
+def pack_pairs(pair: np.ndarray) -> bytes:
+    """Sorted pairs: gaps of the upper words, lower words as they are."""
+    body = pack(pair >> np.uint64(32), (pair & np.uint64(0xFFFFFFFF)).astype(np.uint32)) if len(pair) else b""
+    return np.array([len(body)], "<u4").tobytes() + body
+
+
+def _counted(batches):
+    """Pairs met MEETINGS times, in one tile or in several."""
+    once, often = {}, {}
+    for batch in batches:
+        for part, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for held in (once, often):
+                size = int(np.frombuffer(block, "<u4", 1)[0])
+                if size:
+                    hi, lo = unpack(block[4 : 4 + size])
+                    held.setdefault(part, []).append(hi << np.uint64(32) | lo)
+                block = block[4 + size :]
+    for part in {*once, *often}:
+        sure = np.concatenate(often.pop(part, []) or [np.empty(0, np.uint64)])
+        pair, times = np.unique(np.concatenate(once.pop(part, []) or [np.empty(0, np.uint64)]), return_counts=True)
+        both = np.unique(np.concatenate((sure, pair[times >= MEETINGS])))
+        if len(both):
+            yield pa.RecordBatch.from_arrays([pa.array(both.view(np.int64))], ["pair"])
 
 
 def candidates(texts: DataFrame) -> DataFrame:
@@ -253,7 +313,8 @@ def candidates(texts: DataFrame) -> DataFrame:
     spark = texts.sparkSession
     parts = shuffle_partitions(spark)
     post = texts.mapInArrow(_postings(4 * parts), "bucket int, side byte, block binary").repartition(parts, "bucket")
-    return post.mapInArrow(_tiles, "pair long, times int").groupBy("pair").agg(F.sum("times").alias("times")).where(F.col("times") >= MEETINGS).select("pair")
+    met = post.mapInArrow(lambda it: _tiles(it, 4 * parts), "part int, block binary").repartition(parts, "part")
+    return met.mapInArrow(_counted, "pair long")
 
 
 def _classes(with_text: bool):
