@@ -4,14 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pyspark.sql import functions as F
+
 from ..sources.tables import read_table
-from . import forms, similarity, units
+from . import forms, sampling, similarity, units
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return similarity.near_duplicate_pairs(read_table(spark, folder, "records"))
 
 
+def p1_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return similarity.groups(read_table(spark, folder, "records"))
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return units.straddling(read_table(spark, folder, "records"))
 
@@ -28,9 +34,38 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return forms.same_form_pairs(read_table(spark, folder, "records"))
 
 
+def p3_forms(spark: SparkSession, folder: str) -> DataFrame:
+    return forms.consistent_form(read_table(spark, folder, "records").select("row_no", "id", "text"))
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    pairs = similarity.split_overlaps(read_table(spark, folder, "records"))
+    return pairs.select(F.least("train_id", "eval_id").alias("id_a"), F.greatest("train_id", "eval_id").alias("id_b")).distinct()
+
+
+def p4_report(spark: SparkSession, folder: str) -> DataFrame:
+    records = read_table(spark, folder, "records")
+    return similarity.overlap_report(records, similarity.split_overlaps(records))
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    records = sampling.records_with_axes(read_table(spark, folder, "records"))
+    return sampling.unmet(records, read_table(spark, folder, "sample_targets")).select("axis", "category")
+
+
+def p5_sample(spark: SparkSession, folder: str) -> DataFrame:
+    return sampling.draw(read_table(spark, folder, "records"), read_table(spark, folder, "sample_targets"))
+
+
+def p5_report(spark: SparkSession, folder: str) -> DataFrame:
+    return sampling.report(p5_sample(spark, folder), read_table(spark, folder, "sample_targets"))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("p") and k[1:2].isdigit()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    from . import sql
+
+    return sql.oracle_sql()
