@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from . import forms, sampling, similarity, units
+from . import forms, sampling, sentences, similarity, units
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -61,6 +61,10 @@ def p5_report(spark: SparkSession, folder: str) -> DataFrame:
     return sampling.report(p5_sample(spark, folder), read_table(spark, folder, "sample_targets"))
 
 
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return sentences.split(read_table(spark, folder, "records")).withColumnRenamed("id", "record_id")
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("p") and k[1:2].isdigit()}
 
