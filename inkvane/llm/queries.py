@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from . import forms, sampling, sentences, similarity, units
+from . import forms, mixing, pieces, sampling, sentences, similarity, tokens, units
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -65,6 +65,32 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return sentences.split(read_table(spark, folder, "records")).withColumnRenamed("id", "record_id")
 
 
+def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return tokens.encode(read_table(spark, folder, "documents"))
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    docs = mixing.sized(read_table(spark, folder, "documents"))
+    return mixing.short(mixing.supply(docs, read_table(spark, folder, "mix_targets"))).select("source")
+
+
+def p8_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(mixing.sized(read_table(spark, folder, "documents")), read_table(spark, folder, "mix_targets"))
+
+
+def p8_report(spark: SparkSession, folder: str) -> DataFrame:
+    docs, targets = mixing.sized(read_table(spark, folder, "documents")), read_table(spark, folder, "mix_targets")
+    return mixing.report(mixing.mix(docs, targets), mixing.supply(docs, targets))
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p9_pieces(spark, folder).select("doc_id").distinct()
+
+
+def p9_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return pieces.split(read_table(spark, folder, "documents"), read_table(spark, folder, "piece_limits"))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("p") and k[1:2].isdigit()}
 
