@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-_QUERIES: dict = {}
-_SQL: dict[str, str] = {}
+from .plans import queries as _queries
+from .plans import sql as _sql
 
 
 def queries() -> dict:
-    return dict(_QUERIES)
+    return _queries.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return _sql.oracle_sql()

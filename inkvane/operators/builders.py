@@ -17,16 +17,27 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions.wordlists import SYNONYMS
 
+def digit(*parts: Column | str | int) -> Column:
+    """A pseudo-random number from 0 to 15: the first digit of the MD5 of the parts joined by colons."""
+    cols = [p if isinstance(p, Column) else F.lit(p) for p in parts]
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *[c.cast("string") for c in cols])), 1, 1), 16, 10).cast("int")
+
+
 _TOKEN = r"(?s)[A-Za-z']+|[^A-Za-z']+"
 
 
+def shuffled(key: str, seed: int) -> Column:
+    """A key to order rows by at random."""
+    return F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))))
+
+
 def paraphrase(text: Column, key: Column, seed: int = 0) -> Column:
     """About half of the words that have a synonym are replaced, a leading capital kept; the coin is a hash of key, place and seed."""
     table = F.create_map(*[F.lit(x) for kv in SYNONYMS.items() for x in kv])
 
     def swap(tok, i):
         found = F.try_element_at(table, F.lower(tok))
-        coin = F.pmod(F.xxhash64(key, i, F.lit(seed)), F.lit(2)) == 0
+        coin = digit(key, i, seed) < 8
         cased = F.when(F.regexp_like(tok, F.lit("^[A-Z]")), F.concat(F.upper(F.substring(found, 1, 1)), F.substring(found, 2, 100))).otherwise(found)
         return F.when(found.isNotNull() & coin, cased).otherwise(tok)
 
@@ -71,9 +82,9 @@ def mix(pairs: DataFrame, key: str, human: str, ai: str, seed: int = 0, separato
     sides = pairs.select(F.col(key), F.explode(F.array(F.struct(F.lit("human").alias("label"), F.col(human).alias("t")), F.struct(F.lit("ai").alias("label"), F.col(ai).alias("t")))).alias("x"))
     sents = sides.select(key, "x.label", F.transform(tx.sentences(F.col("x.t")), lambda s: s["text"]).alias("s"))
     both = sents.groupBy(key).pivot("label", ["human", "ai"]).agg(F.first("s")).where(F.size("human").__gt__(0) & F.size("ai").__gt__(0))
-    first = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(2))
+    first = F.pmod(digit(F.col(key), seed), F.lit(2))
     # the n-th block of a side has 1 to 3 sentences: its number follows from running sums of hashed sizes
-    sizes = lambda side: F.transform(F.sequence(F.lit(0), F.size(side) - 1), lambda i: (F.pmod(F.xxhash64(F.col(key), F.lit(side), i, F.lit(seed)), F.lit(3)) + 1).cast("int"))
+    sizes = lambda side: F.transform(F.sequence(F.lit(0), F.size(side) - 1), lambda i: F.pmod(digit(F.col(key), side, i, seed), F.lit(3)) + 1)
     one = both.withColumn("first", first)
     parts = None
     for k, side in enumerate(("human", "ai")):
@@ -136,12 +147,12 @@ def mix_seeded(human: Column, ai: Column, seed: Column, separator: str = " ") ->
 
 def round_robin(df: DataFrame, by: str, key: str, n: int, seed: int = 0) -> DataFrame:
     """n rows, one of each category in turn, in hashed order within the categories. Only ranks up to n leave their task."""
-    r = F.row_number().over(Window.partitionBy(by).orderBy(F.xxhash64(F.col(key), F.lit(seed)), key))
+    r = F.row_number().over(Window.partitionBy(by).orderBy(shuffled(key, seed), key))
     return df.withColumn("_r", r).where(F.col("_r") <= n).orderBy("_r", by).limit(n).drop("_r")
 
 
 def boost(df: DataFrame, taken: DataFrame, key: str, text: str, label: str, count: int, seed: int = 0) -> DataFrame:
     """Up to count // 2 more rows of each label whose text has not been taken, in hashed order."""
     left = df.join(taken.select(text).distinct(), text, "left_anti")
-    r = F.row_number().over(Window.partitionBy(label).orderBy(F.xxhash64(F.col(key), F.lit(seed)), key))
+    r = F.row_number().over(Window.partitionBy(label).orderBy(shuffled(key, seed), key))
     return left.withColumn("_r", r).where(F.col("_r") <= count // 2).drop("_r")

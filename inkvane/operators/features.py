@@ -142,21 +142,17 @@ def statistical(df: DataFrame, text: str = "text", common: list[str] | None = No
 def perplexity(tokens: DataFrame, key: str) -> DataFrame:
     """The 16 features of scored tokens (key, sid, logprob, entropy), one row per key that has tokens.
 
-    Two aggregations on one hash partitioning of the key: per sentence, then per text.
+    Two aggregations of the tokens, per text and per sentence, both combined
+    before the shuffle, and joined on the key by which both are partitioned.
     """
     bits = -F.col("logprob") / F.log(F.lit(2.0))
-    per = tokens.groupBy(key, "sid").agg(F.sum("logprob").alias("lp"), F.count("logprob").alias("n"), F.sum(bits).alias("b1"), F.sum(bits * bits).alias("b2"), F.max(bits).alias("bmax"), F.sum("entropy").alias("e1"), F.sum(F.col("entropy") * F.col("entropy")).alias("e2"), F.count("entropy").alias("en"))
-    per = per.withColumn("ppl", F.exp(-stats.ratio(F.col("lp"), F.col("n"))))
-    d = per.groupBy(key).agg(
-        F.sum("lp").alias("lp"), F.sum("n").alias("n"), F.sum("b1").alias("b1"), F.sum("b2").alias("b2"), F.max("bmax").alias("bmax"), F.sum("e1").alias("e1"), F.sum("e2").alias("e2"), F.sum("en").alias("en"),
-        F.avg("ppl").alias("m"), F.stddev_pop("ppl").alias("s"), F.min("ppl").alias("lo"), F.max("ppl").alias("hi"))
-    n, en, m, s = F.col("n"), F.col("en"), F.col("m"), F.col("s")
-    mean_bits = stats.ratio(F.col("b1"), n)
-    spread = lambda second, first, k: F.sqrt(F.greatest(stats.ratio(second, k) - stats.ratio(first, k) * stats.ratio(first, k), F.lit(0.0)))
+    d = tokens.groupBy(key).agg(F.avg("logprob").alias("lp"), F.avg(bits).alias("b"), F.stddev_pop(bits).alias("bs"), F.max(bits).alias("bmax"), F.avg("entropy").alias("e"), F.stddev_pop("entropy").alias("es"), F.count("entropy").alias("en"))
+    per = tokens.groupBy(key, "sid").agg(F.exp(-F.avg("logprob")).alias("ppl")).groupBy(key).agg(F.avg("ppl").alias("m"), F.stddev_pop("ppl").alias("s"), F.min("ppl").alias("lo"), F.max("ppl").alias("hi"))
+    m, s = F.col("m"), F.col("s")
     values = [
-        F.exp(-stats.ratio(F.col("lp"), n)), stats.ratio(F.col("lp"), n), mean_bits, spread(F.col("b2"), F.col("b1"), n), F.col("bmax"), m, s, s * s, F.col("hi") - F.col("lo"), F.col("lo"), F.col("hi"),
-        stats.variation(m, s), stats.burstiness(m, s), F.when(en > 0, stats.ratio(F.col("e1"), en)).otherwise(0.0), F.when(en > 0, spread(F.col("e2"), F.col("e1"), en)).otherwise(0.0), (en > 0).cast("double")]
-    return d.select(key, *[v.cast("double").alias(k) for k, v in zip(PERPLEXITY, values)])
+        F.exp(-F.col("lp")), F.col("lp"), F.col("b"), F.col("bs"), F.col("bmax"), m, s, s * s, F.col("hi") - F.col("lo"), F.col("lo"), F.col("hi"),
+        stats.variation(m, s), stats.burstiness(m, s), F.coalesce("e", F.lit(0.0)), F.coalesce("es", F.lit(0.0)), (F.col("en") > 0).cast("double")]
+    return d.join(per, key).select(key, *[v.cast("double").alias(k) for k, v in zip(PERPLEXITY, values)])
 
 
 def with_perplexity(df: DataFrame, tokens: DataFrame, key: str) -> DataFrame:
