@@ -12,7 +12,17 @@ SPAN = "struct<start:int,end:int,label:string>"
 GENERATION = "struct<model_family:string,model_name:string,provider:string,temperature:double,top_p:double,prompt_id:string,prompt_summary:string>"
 TRANSFORM = "struct<kind:string,parent_id:string,tool:string>"
 DDL = f"id string, text string, label string, spans array<{SPAN}>, source string, group_id string, generation {GENERATION}, transform {TRANSFORM}, split string, meta map<string,string>"
-RECORD = T.StructType.fromDDL(DDL)
+_S, _I, _D = T.StringType(), T.IntegerType(), T.DoubleType()
+
+
+def _struct(**fields) -> T.StructType:
+    return T.StructType([T.StructField(k, v) for k, v in fields.items()])
+
+
+RECORD = _struct(
+    id=_S, text=_S, label=_S, spans=T.ArrayType(_struct(start=_I, end=_I, label=_S)), source=_S, group_id=_S,
+    generation=_struct(model_family=_S, model_name=_S, provider=_S, temperature=_D, top_p=_D, prompt_id=_S, prompt_summary=_S),
+    transform=_struct(kind=_S, parent_id=_S, tool=_S), split=_S, meta=T.MapType(_S, _S))
 
 
 def is_paraphrase():
