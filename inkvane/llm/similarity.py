@@ -37,7 +37,7 @@ THRESHOLD = 0.5
 SPAN = 4
 BANDS = 112
 MEETINGS = 2
-PERMUTATIONS, BINS = 4, 16
+PERMUTATIONS, BINS = 8, 16
 KEY_BITS = 35
 BITMAP_BITS = 2048
 FLUSH = 2_000_000
@@ -132,10 +132,15 @@ def super_runs(mins: np.ndarray) -> np.ndarray:
     return cp.mix(key) >> np.uint64(64 - KEY_BITS)
 
 
+def doc_number(class_hash: np.ndarray) -> np.ndarray:
+    """28 bits of the class hash. Two classes may have one number; both are then looked at."""
+    number = (class_hash >> np.uint64(36)).astype(np.uint32)
+    return np.where(number == FILLER >> 4, np.uint32(0), number)
+
+
 def doc_word(class_hash: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """28 bits of the class hash and the size band. Two classes may have one word; both are then looked at."""
-    word = ((class_hash >> np.uint64(36)) << np.uint64(4)).astype(np.uint32) | size_band(size)
-    return np.where(word == FILLER, np.uint32(15), word)
+    """The document's number and its size band."""
+    return doc_number(class_hash) << np.uint32(4) | size_band(size)
 
 
 def _fill(gap: np.ndarray, value: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
@@ -329,8 +334,7 @@ def _classes(with_text: bool):
                 whole = cp.row_hash(cps, off)
                 arrays, names = [batch.column(0).slice(a, b - a), pa.array(whole.view(np.int64))], ["id", "class"]
                 if with_text:
-                    row, _, at = distinct_runs32(cps, off)
-                    arrays += [pa.array(doc_word(whole, np.diff(at)).astype(np.int64)), cp.encode(cps, off, valid)]
+                    arrays += [pa.array(doc_number(whole).astype(np.int64)), cp.encode(cps, off, valid)]
                     names += ["doc", "text"]
                     out = pa.RecordBatch.from_arrays(arrays[1:], names[1:]).filter(pa.array(long))
                 else:
@@ -344,17 +348,6 @@ def _classes(with_text: bool):
     return run
 
 
-def distinct_runs32(cps, off):
-    """As distinct_runs, by the upper half of each hash, as the samples take it."""
-    rows = len(off) - 1
-    row, h = run_hashes(cps, off)
-    x = np.sort(row.astype(np.uint64) << np.uint64(32) | h >> np.uint64(32))
-    if len(x):
-        x = x[np.concatenate(([True], x[1:] != x[:-1]))]
-    row = (x >> np.uint64(32)).astype(np.int64)
-    return row, x, np.concatenate(([0], np.cumsum(np.bincount(row, minlength=rows))))
-
-
 def members(df: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
     """(id, class): the class of equal compared forms of each record that takes part; ids delivered again count once."""
     src = df.select(F.col(key).cast("string").alias("id"), F.col(text).alias("text")).where("id is not null and text is not null")
@@ -428,7 +421,7 @@ def verified(df: DataFrame, pairs: DataFrame, text: str = "text", threshold: flo
         .mapInArrow(_classes(True), "class long, doc long, text string")
         .repartition(parts, "doc").dropDuplicates(["doc", "class"])
     )
-    long = pairs.select("pair", F.explode(F.array(F.struct(F.lit(False).alias("second"), F.shiftrightunsigned("pair", 32).alias("doc")), F.struct(F.lit(True).alias("second"), F.col("pair").bitwiseAND(0xFFFFFFFF).alias("doc")))).alias("x")).select("pair", "x.second", "x.doc")
+    long = pairs.select("pair", F.explode(F.array(F.struct(F.lit(False).alias("second"), F.shiftrightunsigned("pair", 36).alias("doc")), F.struct(F.lit(True).alias("second"), F.shiftrightunsigned(F.col("pair").bitwiseAND(0xFFFFFFFF), 4).alias("doc")))).alias("x")).select("pair", "x.second", "x.doc")
     both = docs.join(long.hint("shuffle_hash"), "doc").select("pair", "second", "class", "text")
     both = both.repartition(parts, "pair").sortWithinPartitions("pair", "second", "class")
     return both.mapInArrow(_verify(threshold), "class_a long, class_b long, similarity double")
