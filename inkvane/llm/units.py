@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -131,10 +129,10 @@ def assign_splits(df: DataFrame, targets: DataFrame, label: str = "label") -> Da
     if not shares:
         return rec.select("id", "unit_id", "label", F.lit(None).cast("string").alias("assigned"))
     labels = sorted(r[0] for r in rec.select("label").distinct().collect())
-    per = rec.groupBy("unit").agg(*[F.sum((F.col("label") == l).cast("int")).alias(f"n{i}") for i, l in enumerate(labels)])
-    names = [f"n{i}" for i in range(len(labels))]
     if not labels:
         return rec.select("id", "unit_id", "label", F.lit(None).cast("string").alias("assigned"))
+    names = [f"n{i}" for i in range(len(labels))]
+    per = rec.groupBy("unit").agg(*[F.sum((F.col("label") == l).cast("int")).alias(n) for n, l in zip(names, labels)])
     per = cut(per.withColumn("kind", F.xxhash64(*[_level(F.col(n)) for n in names])).withColumn("bucket", F.pmod(F.xxhash64("unit", F.lit(7)), F.lit(BUCKETS))))
     kinds = [r.asDict() for r in per.groupBy("kind").agg(F.count("*").alias("units"), *[F.sum(n).alias(n) for n in names]).collect()]
     plan = allocate(kinds, names, shares)
