@@ -110,17 +110,30 @@ def cut_text(text: str, enc: tokens.Encoder, most: int, overlap: int) -> list[tu
             break
     if best is not None:
         return best[1]
-    out, start = [], 0  # no even layout holds the limit: fill up piece by piece
-    while start < len(place) - 1:
-        end = max(start + 1, int(np.searchsorted(before, before[start] + most, "right")) - 1)
-        while end > start + 1 and len(enc(text[place[start] : place[end]])) > most:
-            end -= 1
-        out.append((int(place[start]), int(place[end]), len(enc(text[place[start] : place[end]])), int(strength[end])))
-        if end == len(place) - 1:
-            break
-        back = int(np.searchsorted(before, before[end] - overlap, "right")) - 1
-        start = back if start < back < end else end
-    return out
+    return _fill(text, enc, most, overlap)
+
+
+def _fill(text: str, enc: tokens.Encoder, most: int, overlap: int) -> list[tuple[int, int, int, int]]:
+    """Where no even layout holds the limit (limits of a few tokens): filled up piece by piece, cut between any characters."""
+    out, start = [], 0
+    while True:
+        low, high = start + 1, min(len(text), start + 2)
+        while high < len(text) and len(enc(text[start:high])) <= most:
+            low, high = high, min(len(text), start + 2 * (high - start))
+        if len(enc(text[start:high])) <= most:
+            low = high
+        while high - low > 1:
+            mid = (low + high) // 2
+            low, high = (mid, high) if len(enc(text[start:mid])) <= most else (low, mid)
+        while low > start + 1 and len(enc(text[start:low])) > most:
+            low -= 1
+        out.append((start, low, len(enc(text[start:low])), TOKEN if low < len(text) else PARAGRAPH))
+        if low == len(text):
+            return out
+        back = low
+        while overlap and back > start + 1 and len(enc(text[back:low])) < overlap:
+            back -= 1
+        start = back if overlap and back > start else low
 
 
 def split(df: DataFrame, limits: DataFrame, key: str = "doc_id", text: str = "text", path: str = tokens.RANKS) -> DataFrame:
