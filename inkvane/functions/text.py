@@ -18,8 +18,10 @@ WORD = r"[A-Za-z]+(?:'[A-Za-z]+)*|\p{Nd}+(?:[.,]\p{Nd}+)*"
 #: Marks put into the text to split it: a sentence end, the start and the end of a paragraph break.
 END, OPEN, CLOSE = "", "", ""
 
-_LONE = r"\.(?![.!?])(?<!(?<![A-Za-z'])'{0,16}(?:[A-Za-z]|(?i:" + "|".join(ABBREVIATIONS) + r"))\.)"
-_BOUNDARY = rf"(?<![.!?])(?:[.!?]{{2,}}+|[!?](?![.!?])|{_LONE})[{CLOSERS}]*+(?=[{SPACE}{OPEN}]|\z)"
+#: Before a lone period: an abbreviation or a single letter.
+_SHORT = r"(?<!(?<![A-Za-z'])'{0,16}(?:[A-Za-z]|(?i:" + "|".join(ABBREVIATIONS) + r"))\.)"
+#: The first mark of a run; then more marks, or a lone mark that is no period, or a period after no abbreviation; then closing signs and what must follow.
+_BOUNDARY = rf"[.!?](?<![.!?][.!?])(?:[.!?]++|(?<=[!?])|{_SHORT})[{CLOSERS}]*+(?=[{SPACE}{OPEN}]|\z)"
 
 
 def strip(c: Column) -> Column:
@@ -66,13 +68,16 @@ def paragraphs(text: Column) -> Column:
 
 
 def word_spans(text: Column, base: Column) -> Column:
-    """array<struct<text, start, end>>: words with offsets, counted from base."""
-    pieces = F.regexp_extract_all(text, F.lit(rf"(?s){WORD}|."), F.lit(0))
+    """array<struct<text, start, end>>: words with offsets, counted from base: one step per word over the words and the gaps before them."""
+    found = F.zip_with(words(text), F.split(text, WORD), lambda w, gap: F.struct(w.alias("w"), F.length(gap).alias("g")))
     start = F.struct(base.cast("int").alias("at"), F.array().cast("array<struct<text:string,start:int,end:int>>").alias("out"))
-    return F.aggregate(pieces, start, lambda acc, p: F.struct(
-        (acc["at"] + F.length(p)).cast("int").alias("at"),
-        F.when(F.regexp_like(p, F.lit(r"^(?:[A-Za-z]|\p{Nd})")), F.concat(acc["out"], F.array(F.struct(p.alias("text"), acc["at"].alias("start"), (acc["at"] + F.length(p)).cast("int").alias("end"))))).otherwise(acc["out"]).alias("out"),
-    ), lambda acc: acc["out"])
+
+    def step(acc, p):
+        at = acc["at"] + p["g"]
+        end = (at + F.length(p["w"])).cast("int")
+        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(p["w"].alias("text"), at.cast("int").alias("start"), end.alias("end")))).alias("out"))
+
+    return F.aggregate(F.filter(found, lambda p: p["w"].isNotNull()), start, step, lambda acc: acc["out"])
 
 
 def explode_sentences(df: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -81,8 +86,10 @@ def explode_sentences(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     return one.select(key, "s.sid", "s.start", "s.end", F.col("s.text").alias("sentence"))
 
 
-def explode_words(df: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, sid, pos, word, start, end): words of every sentence; no word crosses a sentence's end."""
+def explode_words(df: DataFrame, key: str, text: str = "text", offsets: bool = True) -> DataFrame:
+    """(key, sid, pos, word, start, end): words of every sentence; no word crosses a sentence's end. Without offsets, start and end are left out."""
     s = explode_sentences(df, key, text)
+    if not offsets:
+        return s.select(key, "sid", F.posexplode(words(F.col("sentence"))).alias("pos", "word"))
     w = s.select(key, "sid", F.posexplode(word_spans(F.col("sentence"), F.col("start"))).alias("pos", "w"))
     return w.select(key, "sid", "pos", F.col("w.text").alias("word"), F.col("w.start").alias("start"), F.col("w.end").alias("end"))

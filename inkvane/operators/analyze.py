@@ -61,7 +61,7 @@ def featurize(df: DataFrame, key: str, text: str, s: System) -> DataFrame:
     """(key, text, features) of each text; a key must not be repeated where a scorer is used."""
     base = features.statistical(df.select(key, text), text, s.common)
     score = scorers.make(s.scorer, **s.scorer_options)
-    return features.with_perplexity(base, score(tx.explode_words(df, key, text)), key) if score else base
+    return features.with_perplexity(base, score(tx.explode_words(df, key, text, offsets=False)), key) if score else base
 
 
 def sentence_scores(df: DataFrame, key: str, s: System, text: str = "text") -> DataFrame:

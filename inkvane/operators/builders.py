@@ -84,13 +84,11 @@ def mix(pairs: DataFrame, key: str, human: str, ai: str, seed: int = 0, separato
     both = sents.groupBy(key).pivot("label", ["human", "ai"]).agg(F.first("s")).where(F.size("human").__gt__(0) & F.size("ai").__gt__(0))
     first = F.pmod(digit(F.col(key), seed), F.lit(2))
     # the n-th block of a side has 1 to 3 sentences: its number follows from running sums of hashed sizes
-    sizes = lambda side: F.transform(F.sequence(F.lit(0), F.size(side) - 1), lambda i: F.pmod(digit(F.col(key), side, i, seed), F.lit(3)) + 1)
-    one = both.withColumn("first", first)
-    parts = None
+    one, parts = both.withColumn("first", first), None
     for k, side in enumerate(("human", "ai")):
-        z = one.select(key, "first", F.posexplode(side).alias("i", "sentence"), sizes(side).alias("sz"))
-        sums = F.transform("sz", lambda x, n: F.aggregate(F.slice("sz", F.lit(1), n + 1), F.lit(0), lambda a, b: a + b))
-        block = F.size(F.filter(sums, lambda e: e <= F.col("i")))
+        ends = F.aggregate(F.sequence(F.lit(0), F.size(side) - 1), F.array().cast("array<int>"), lambda acc, i: F.concat(acc, F.array((F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + F.pmod(digit(F.col(key), side, i, seed), F.lit(3)) + 1).cast("int"))))
+        z = one.select(key, "first", side, ends.alias("ends")).select(key, "first", "ends", F.posexplode(side).alias("i", "sentence"))
+        block = F.size(F.filter("ends", lambda e: e <= F.col("i")))
         turn = 2 * block + F.when(F.col("first") == k, 0).otherwise(1)
         z = z.select(key, F.lit(side).alias("label"), turn.alias("turn"), "i", "sentence")
         parts = z if parts is None else parts.unionByName(z)

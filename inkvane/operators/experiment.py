@@ -12,10 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from . import analyze, decision, detector, evaluate, features, metrics, splits
+from . import analyze, decision, detector, evaluate, features, metrics, splits, standin
 
-#: The feature sets of the ablation systems. `combined` is the mean of `neural` and `classical_full`.
-ABLATIONS = {"perplexity_only": features.PERPLEXITY, "style_only": features.STYLE + features.LEXICAL + features.REPETITION, "classical_full": features.STATISTICAL + features.PERPLEXITY, "neural": None, "combined": None}
+#: The feature sets of the ablation systems. `neural` has none; `combined` is the mean of `neural` and `classical_full`.
+ABLATIONS = {"perplexity_only": features.PERPLEXITY, "style_only": features.STYLE + features.LEXICAL + features.REPETITION, "classical_full": features.STATISTICAL + features.PERPLEXITY, "neural": None, "combined": features.STATISTICAL + features.PERPLEXITY}
 
 
 @dataclass
@@ -39,11 +39,9 @@ class Config:
 def names_of(ablation: str, scorer: str) -> list[str]:
     if ablation not in ABLATIONS:
         raise ValueError(f"unknown ablation: {ablation}")
-    if ABLATIONS[ablation] is None:
-        raise RuntimeError(f"{ablation} needs a neural backend, which is optional and absent")
     if ablation == "perplexity_only" and scorer == "none":
         raise ValueError("perplexity_only needs a scorer")
-    return [f for f in ABLATIONS[ablation] if scorer != "none" or f not in features.PERPLEXITY]
+    return [f for f in ABLATIONS[ablation] or [] if scorer != "none" or f not in features.PERPLEXITY]
 
 
 class Run:
@@ -56,7 +54,7 @@ class Run:
         probe = analyze.System("probe", detector.Detector([], [], [], [], 0.0), scorer=scorer, scorer_options=scorer_options or {}, common=common or [])
         self.docs = flat.drop("text").join(analyze.featurize(flat.select("id", "text"), "id", "text", probe).drop("text"), "id").persist()
         sents = tx.explode_sentences(flat, "id").withColumn("sk", F.concat_ws("#", "id", F.col("sid").cast("string")))
-        self.sents = sents.drop("sentence").join(analyze.featurize(sents.select("sk", "sentence"), "sk", "sentence", probe).drop("sentence"), "sk").join(flat.select("id", "label", "spans", "group_id", "model_family"), "id").withColumn("y", evaluate.truth(F.col("label"), F.col("spans"), F.col("start"), F.col("end"))).persist()
+        self.sents = sents.join(analyze.featurize(sents.select("sk", "sentence"), "sk", "sentence", probe).drop("sentence"), "sk").join(flat.select("id", "label", "spans", "group_id", "model_family"), "id").withColumn("y", evaluate.truth(F.col("label"), F.col("spans"), F.col("start"), F.col("end"))).persist()
 
     def close(self) -> None:
         self.docs.unpersist()
@@ -69,13 +67,20 @@ class Run:
         docs, sents = self.docs.join(tags, "id"), self.sents.join(tags, "id")
         pure = docs.where("label in ('human', 'ai')").withColumn("y", (F.col("label") == "ai").cast("int"))
         settings = detector.Config(seed=self.config.seed)
-        doc_model = detector.train(pure.where("split = 'train'"), names, "y", "id", settings, self.config.scorer)
-        sent_model = detector.train(sents.where("split = 'train' and y is not null"), names, "y", "sk", settings, self.config.scorer)
-        test = doc_model.predict(docs.where("split = 'test'"), "p").persist()
-        marks = sent_model.predict(sents.where("split = 'test'"), "p").persist()
+        known = sents.where("split = 'train' and y is not null")
+        test, marks, importances = docs.where("split = 'test'"), sents.where("split = 'test'"), []
+        if ablation in ("neural", "combined"):
+            marks = standin.predict(standin.fit(known), marks, out="p_n")
+            test = test.join(marks.groupBy("id").agg(F.avg("p_n").alias("p_n")), "id")
+        if ablation != "neural":
+            model = detector.train(pure.where("split = 'train'"), names, "y", "id", settings, self.config.scorer)
+            test, importances = model.predict(test, "p_c"), model.importances(10)
+            marks = detector.train(known, names, "y", "sk", settings, self.config.scorer).predict(marks, "p_c")
+        p = {"neural": F.col("p_n"), "combined": (F.col("p_n") + F.col("p_c")) / 2 if ablation == "combined" else None}.get(ablation, F.col("p_c"))
+        test, marks = test.withColumn("p", p).persist(), marks.withColumn("p", p).persist()
         decided = decision.aggregate(marks, "id", "p", test.select("id", F.col("p").alias("doc_p"))).join(test.select("id", F.col("label").alias("truth")), "id")
         out = {k: [r.asDict() for r in d.collect()] for k, d in evaluate.slices(test, marks, decided).items()}  # a row each
-        out["importances"] = doc_model.importances(10)
+        out["importances"] = importances
         test.unpersist()
         marks.unpersist()
         return out

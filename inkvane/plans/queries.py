@@ -31,8 +31,8 @@ def _docs(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, d, "documents")
 
 
-def _words(spark, d):
-    return tx.explode_words(_docs(spark, d), "doc_id")
+def _words(spark, d, offsets=False):
+    return tx.explode_words(_docs(spark, d), "doc_id", offsets=offsets)
 
 
 def _records(spark, d):
@@ -64,7 +64,7 @@ def paragraph_counts(spark, d):
 
 
 def words(spark, d):
-    return _words(spark, d).select("doc_id", "sid", "pos", "word", F.col("start").alias("start_pos"), F.col("end").alias("end_pos"))
+    return _words(spark, d, True).select("doc_id", "sid", "pos", "word", F.col("start").alias("start_pos"), F.col("end").alias("end_pos"))
 
 
 def word_sentence_join(spark, d):
@@ -106,8 +106,8 @@ def feature_rollup_by_lang(spark, d):
     return f.groupBy("lang").agg(F.count("*").alias("n"), *[r9(F.avg(c)).alias(f"avg_{c}") for c in ("sent_count", "sent_mean_len_words", "sent_len_words_burstiness", "lex_ttr", "lex_mattr_w50")])
 
 
-def _fixed(spark, d):
-    return scorers.lexicon(_words(spark, d), read_table(spark, d, "lexicon"))
+def _fixed(spark, d, offsets=False):
+    return scorers.lexicon(_words(spark, d, offsets), read_table(spark, d, "lexicon"))
 
 
 def fixed_scores(spark, d):
@@ -131,7 +131,7 @@ def sentence_statistics(spark, d):
 
 
 def token_surprisal_series(spark, d):
-    s = scorers.surprisal_series(_fixed(spark, d), "doc_id").select("doc_id", F.posexplode("series").alias("k", "t"))
+    s = scorers.surprisal_series(_fixed(spark, d, True), "doc_id").select("doc_id", F.posexplode("series").alias("k", "t"))
     return s.select("doc_id", "k", F.col("t.start").alias("start_pos"), F.col("t.text").alias("token"), r9("t.surprisal_bits").alias("surprisal_bits"))
 
 

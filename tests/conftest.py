@@ -7,7 +7,7 @@ def spark(tmp_path_factory):
     s = (
         SparkSession.builder.master("local[4]").appName("inkvane-tests")
         .config("spark.sql.shuffle.partitions", "3").config("spark.ui.enabled", "false").config("spark.driver.memory", "4g")
-        .config("spark.sql.session.timeZone", "UTC").config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("checkpoint"))).getOrCreate()
+        .config("spark.sql.session.timeZone", "UTC").config("spark.sql.maxPlanStringLength", "20000").config("spark.sql.ui.retainedExecutions", "10").config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("checkpoint"))).getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
     yield s
