@@ -17,16 +17,23 @@ Fixed behaviour
 
 from __future__ import annotations
 
+import os
 import re
+import sqlite3
+import tempfile
 import unicodedata
+import uuid
 from collections import Counter
+from collections.abc import Mapping
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.lineage import cut
+from ..plans.lineage import checkpoint_dir, cut
 
 CHI_999 = 10.83  # chi-square, one degree of freedom, 0.1 per cent
 HIDDEN = re.compile("[­​-‏‪-‮⁠-⁤⁦-⁯﻿︀-️]")
@@ -48,6 +55,7 @@ _TWINS = str.maketrans("аеорсухіѕјονАВЕКМНОРСТХІЅЈΑΒ
 _WIDE = {0xFF01 + i: 0x21 + i for i in range(94)}
 LATIN = re.compile("[A-Za-zÀ-ɏ]")
 NUMBER = "##"
+CACHE = 200_000  # looked-up types a worker keeps
 
 
 def _before(text: str, lo: int, at: int) -> str:
@@ -151,20 +159,92 @@ def _llr(k1, n1, k2, n2):
     return 2 * (ll(k1, n1, p1) + ll(k2, n2, p2) - ll(k1, n1, p) - ll(k2, n2, p))
 
 
+class Types(Mapping):
+    """The learned types of one kind and language, looked up in the model's file with a bounded cache."""
+
+    _files: dict[str, tuple[sqlite3.Connection, dict]] = {}
+
+    def __init__(self, name: str, what: str, lang: str):
+        self.name, self.what, self.lang = name, what, lang
+
+    def _file(self):
+        if self.name not in Types._files:
+            path = Path(SparkFiles.get(self.name)).resolve()
+            Types._files[self.name] = sqlite3.connect(f"{path.as_uri()}?mode=ro&immutable=1", uri=True, check_same_thread=False), {}
+        return Types._files[self.name]
+
+    def _row(self, a):
+        db, cache = self._file()
+        key = self.what, self.lang, a
+        try:
+            return cache[key]
+        except KeyError:
+            if len(cache) > CACHE:
+                cache.clear()
+            row = cache[key] = db.execute("select ends from types where what = ? and lang = ? and a = ?", key).fetchone()
+            return row
+
+    def __contains__(self, a):
+        return self._row(a) is not None
+
+    def __getitem__(self, a):
+        row = self._row(a)
+        if row is None:
+            raise KeyError(a)
+        return row[0]
+
+    def __iter__(self):
+        return (a for a, in self._file()[0].execute("select a from types where what = ? and lang = ?", (self.what, self.lang)))
+
+    def __len__(self):
+        return self._file()[0].execute("select count(*) from types where what = ? and lang = ?", (self.what, self.lang)).fetchone()[0]
+
+
+def publish(spark: SparkSession, rows) -> tuple[str, set]:
+    """Writes rows (what, lang, a, ends) as they come into a file that every executor fetches; its name and the pairs (what, lang)."""
+    name, seen = f"sentences-{uuid.uuid4().hex}.db", set()
+
+    def each():
+        for r in rows:
+            seen.add((r["what"], r["lang"]))
+            yield r["what"], r["lang"], r["a"], r["ends"]
+
+    with tempfile.TemporaryDirectory() as folder:
+        local = os.path.join(folder, name)
+        db = sqlite3.connect(local)
+        db.execute("create table types (what text, lang text, a text, ends real, primary key (what, lang, a)) without rowid")
+        db.executemany("insert into types values (?, ?, ?, ?)", each())
+        # types that several languages shorten
+        db.execute("insert into types select 'shared', '', a, 0.0 from types where what = 'abbr' and length(a) > 1 group by a having count(*) > 1")
+        db.commit()
+        db.close()
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+        path = hadoop.Path(checkpoint_dir(spark), name)
+        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        fs.copyFromLocalFile(False, True, hadoop.Path(Path(local).as_uri()), path)
+        spark.sparkContext.addFile(fs.makeQualified(path).toString())
+    return name, seen
+
+
 class Model:
     """What was learned: abbreviations with how readily they end sentences, number collocations, starters, frequent words."""
 
-    def __init__(self, abbreviations, before_number, after_number, starters, frequent):
+    def __init__(self, abbreviations, before_number, after_number, starters, frequent, shared=None):
         self.abbreviations = abbreviations  # lang -> {type: share of capitals after it that start a sentence}
         self.before_number, self.after_number, self.starters, self.frequent = before_number, after_number, starters, frequent
+        if shared is None:
+            known = Counter(a for v in abbreviations.values() for a in v)
+            shared = frozenset(a for a, n in known.items() if n > 1 and len(a) > 1)
+        self.shared = shared  # types that several languages shorten
 
 
-def learn(df: DataFrame, text: str = "text", lang: str = "lang", least_share: float = 1e-6) -> Model:
+def learn(df: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     """The model of all texts with a language.
 
-    Types are counted over all rows. Only types that make up `least_share` of
-    their language's words (at least 2 of them) can get into the model, so it
-    has at most 1/least_share types a language, whatever the corpus.
+    Types are counted over all rows; each of at least 2 occurrences is tested,
+    whatever the corpus. The learned types may be many: they go row by row
+    into a file that the tasks look them up in. Only frequent words, at most
+    500 a language, are held by the driver.
     """
     src = df.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
     c = cut(src.mapInArrow(_collect, "lang string, kind string, a string, b string, cat int, n long").groupBy("lang", "kind", "a", "b", "cat").agg(F.sum("n").alias("n")))
@@ -181,8 +261,7 @@ def learn(df: DataFrame, text: str = "text", lang: str = "lang", least_share: fl
         pick((F.col("cat") == 3) & F.coalesce("common", F.lit(False))).alias("common"), pick((F.col("cat") == 3) & ~F.coalesce("common", F.lit(False))).alias("name"), F.sum(((F.col("cat") == 3) & ~F.coalesce("common", F.lit(False))).cast("int")).alias("names"), pick((F.col("cat") == 3) & F.coalesce("b_dotted", F.lit(False))).alias("paired"), pick(F.col("cat").isin(5, 6)).alias("other"))
     alldots = per.where(F.col("a") != NUMBER).groupBy("lang").agg(F.sum("dots").alias("alldots"), F.sum("digit").alias("alldigits"), F.sum("common").alias("allcommon"), F.sum("name").alias("allname"))
     t = per.join(words.select("lang", "a", "n"), ["lang", "a"]).join(F.broadcast(totals), "lang").join(F.broadcast(alldots), "lang")  # one row a language
-    enough = F.col("n") >= F.greatest(F.lit(2.0), F.col("words") * least_share)
-    t = t.where(enough)
+    t = t.where(F.col("n") >= 2)
     with_dot = _llr(F.col("dots"), F.greatest("n", "dots"), F.greatest(F.col("alldots") - F.col("dots"), F.lit(0)), F.greatest(F.col("words") - F.col("n"), F.col("alldots") - F.col("dots"), F.lit(1)))
     high = F.col("dots") / F.greatest("n", "dots") >= 0.8
     length = F.length(F.regexp_replace("a", r"\.", ""))
@@ -197,15 +276,17 @@ def learn(df: DataFrame, text: str = "text", lang: str = "lang", least_share: fl
     starter = ends.where((F.col("cat") == 3) & (F.col("a") != NUMBER) & F.col("common")).groupBy("lang", "b").agg(F.sum("n").alias("k")).join(words.select("lang", F.col("a").alias("b"), "n"), ["lang", "b"]).join(F.broadcast(alldots), "lang").join(F.broadcast(totals), "lang")
     starter = starter.where((F.col("k") >= 0.0005 * F.col("alldots")) & (F.col("k") >= 2)).select("lang", F.col("b").alias("a"))
     frequent = words.join(F.broadcast(totals), "lang").where(n >= 0.002 * F.col("words")).select("lang", "a")
-    out: dict[str, dict] = {k: {} for k in ("abbr", "number", "after", "starter", "frequent")}
-    tagged = [d.withColumn("what", F.lit(k)).withColumn("ends", F.col("ends") if k == "abbr" else F.lit(0.0)).withColumn("caps", F.col("caps") if k == "abbr" else F.lit(0)).select("what", "lang", "a", "ends", "caps") for k, d in zip(out, (abbr, number, after, starter, frequent))]
+    heavy: dict[str, set] = {}
+    for r in frequent.collect():
+        heavy.setdefault(r["lang"], set()).add(r["a"])
+    kinds = {"abbr": abbr, "number": number, "after": after, "starter": starter}
+    tagged = [d.select(F.lit(k).alias("what"), "lang", "a", (F.when(F.col("caps") >= 3, F.col("ends")) if k == "abbr" else F.lit(None).cast("double")).alias("ends")) for k, d in kinds.items()]
     union = tagged[0]
     for d in tagged[1:]:
         union = union.unionByName(d)
-    for r in union.collect():  # bounded by least_share, see above
-        out[r["what"]].setdefault(r["lang"], {})[r["a"]] = r["ends"] if r["caps"] >= 3 else None
-    sets = [{l: frozenset(v) for l, v in out[k].items()} for k in ("number", "after", "starter", "frequent")]
-    return Model(out["abbr"], *sets)
+    name, seen = publish(df.sparkSession, union.toLocalIterator())  # one partition at a time
+    found = {k: {l: Types(name, k, l) for what, l in seen if what == k} for k in kinds}
+    return Model(*found.values(), {l: frozenset(v) for l, v in heavy.items()}, Types(name, "shared", ""))
 
 
 def guess_language(text: str, model: Model) -> str | None:
@@ -215,13 +296,22 @@ def guess_language(text: str, model: Model) -> str | None:
     return best[1] if best[0] else None
 
 
+class Abbreviations:
+    """Those of a language, and those that several languages shorten, for passages in another language."""
+
+    def __init__(self, model: Model, lang: str | None):
+        self.own, self.shared, self.frequent = model.abbreviations.get(lang, {}), model.shared, model.frequent.get(lang, ())
+
+    def __contains__(self, a):
+        return a in self.own or (a in self.shared and a not in self.frequent)
+
+    def get(self, a):
+        return self.own[a] if a in self.own else 0.0 if a in self else None
+
+
 class Splitter:
     def __init__(self, model: Model, lang: str | None):
-        none: dict = {}
-        own = model.abbreviations.get(lang, none)
-        known = Counter(a for v in model.abbreviations.values() for a in v)
-        shared = {a: 0.0 for a, n in known.items() if n > 1 and len(a) > 1 and a not in model.frequent.get(lang, ())}
-        self.abbr = shared | own  # types that several languages shorten, for passages in another language
+        self.abbr = Abbreviations(model, lang)
         self.number = model.before_number.get(lang, ())
         self.after = model.after_number.get(lang, ())
         self.starters = model.starters.get(lang, ())

@@ -67,3 +67,14 @@ def test_learning_and_table(make):
 def test_nothing(make):
     assert sentences.split(make([])).count() == 0
     assert sentences.split(make([record("a", "One. Two.", lang=None)])).count() == 2
+
+
+def test_rare_types_of_a_large_corpus(spark):
+    from pyspark.sql import functions as F
+
+    big = spark.range(60).select(F.repeat(F.lit("lo "), 100_000).alias("text"), F.lit("en").alias("lang"))
+    few = [(f"It is approx. {w} wide. The rest is not.", "en") for w in ("ten", "two", "six", "five")]
+    m = sentences.learn(big.unionByName(spark.createDataFrame(few, "text string, lang string")))
+    assert "approx" in m.abbreviations["en"] and "wide" not in m.abbreviations["en"]
+    with pytest.raises(KeyError):
+        m.abbreviations["en"]["wide"]
