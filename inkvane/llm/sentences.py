@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 from ..plans.lineage import checkpoint_dir, cut
 
 CHI_999 = 10.83  # chi-square, one degree of freedom, 0.1 per cent
+MANY = 30.0  # the bar where a whole vocabulary is tested, as Kiss and Strunk set it for sentence starters
 HIDDEN = re.compile("[­​-‏‪-‮⁠-⁤⁦-⁯﻿︀-️]")
 BLANK_LINE = re.compile(r"(?:\r\n|\n|\r| | )(?:[^\S\r\n  ]*(?:\r\n|\n|\r| | ))+")
 CLOSERS = "\"'’”»)）]】」』》〉›"
@@ -272,9 +273,15 @@ def learn(df: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     short = (length == 1) | F.col("a").contains(".")  # initials and dotted types are abbreviations by form
     abbr = t.where((F.col("a") != NUMBER) & high & (followed | short) & (with_dot * F.exp(-length / 2) > 0.3)).select("lang", "a", (F.col("common") / F.greatest(F.col("common") + F.col("name"), F.lit(1))).alias("ends"), (F.col("common") + F.col("name")).alias("caps"))
     number = t.where((F.col("digit") >= 2) & (F.col("digit") >= 0.6 * F.col("dots")) & (_llr(F.col("digit"), F.col("dots"), F.col("alldigits") - F.col("digit"), F.greatest(F.col("alldots") - F.col("dots"), F.lit(1))) > CHI_999)).select("lang", "a")
-    after = ends.where((F.col("a") == NUMBER) & (F.col("cat") == 3)).select("lang", F.col("b").alias("a"), F.col("n").alias("k")).join(words, ["lang", "a"]).where("k >= 2 and 2 * k >= n and low * 20 <= n").select("lang", "a")
-    starter = ends.where((F.col("cat") == 3) & (F.col("a") != NUMBER) & F.col("common")).groupBy("lang", "b").agg(F.sum("n").alias("k")).join(words.select("lang", F.col("a").alias("b"), "n"), ["lang", "b"]).join(F.broadcast(alldots), "lang").join(F.broadcast(totals), "lang")
-    starter = starter.where((F.col("k") >= 0.0005 * F.col("alldots")) & (F.col("k") >= 2)).select("lang", F.col("b").alias("a"))
+    # capitals behind periods: of each word behind numbers (k) and behind words (kw), and of all words (numbers, capitals)
+    behind = ends.where("cat = 3").groupBy("lang", "b").agg(pick(F.col("a") == NUMBER).alias("k"), pick(F.col("a") != NUMBER).alias("kw"), F.max("common").alias("common"))
+    sums = behind.groupBy("lang").agg(F.sum("k").alias("numbers"), F.sum("kw").alias("capitals"))
+    behind = behind.join(words.select("lang", F.col("a").alias("b"), "n", "low"), ["lang", "b"]).join(F.broadcast(sums), "lang").join(F.broadcast(totals), "lang")
+    rest = lambda k, of: F.greatest(F.col(of) - F.col(k), F.lit(0))
+    more = lambda k, of, k2, of2: (_llr(F.col(k), F.col(of), k2, F.greatest(of2, k2, F.lit(1))) > MANY) & (F.col(k) * of2 > k2 * F.col(of))
+    # a word that starts sentences anyway is no more frequent behind numbers than behind words
+    after = behind.where((F.col("k") >= 2) & (F.col("low") * 20 <= F.col("n")) & more("k", "numbers", rest("k", "n"), rest("numbers", "words")) & more("k", "numbers", F.col("kw"), F.col("capitals"))).select("lang", F.col("b").alias("a"))
+    starter = behind.where(F.col("common") & (F.col("kw") >= 2) & more("kw", "capitals", rest("kw", "n"), rest("capitals", "words"))).select("lang", F.col("b").alias("a"))
     frequent = words.join(F.broadcast(totals), "lang").where(n >= 0.002 * F.col("words")).select("lang", "a")
     heavy: dict[str, set] = {}
     for r in frequent.collect():

@@ -78,3 +78,24 @@ def test_rare_types_of_a_large_corpus(spark):
     assert "approx" in m.abbreviations["en"] and "wide" not in m.abbreviations["en"]
     with pytest.raises(KeyError):
         m.abbreviations["en"]["wide"]
+
+
+def test_starters_and_words_after_numbers_by_ratio(spark):
+    rng = random.Random(5)
+    words = ["lamp", "mill", "wall", "gate", "yard", "door", "rain", "road"]
+    rows = []
+    for i in range(24_000):
+        ws = [rng.choice(words) for _ in range(14)]
+        if i % 2400 == 3:
+            ws[0] = "hence"  # ten in 24,000 periods, and once inside a sentence
+        elif i % 100 == 50 + i // 100 % 3:
+            ws[0] = "Yolben"  # a name that starts sentences
+        if i == 7:
+            ws[4] = "hence"
+        end = f" in {rng.randint(1000, 1999)}" if i % 3 == 0 else ""
+        rows.append(ws[0].capitalize() + " " + " ".join(ws[1:]) + end + ".")
+    texts = [" ".join(rows[i : i + 50]) for i in range(0, 24_000, 50)]
+    texts += [f"The bill of {i}. Brumaire was paid." for i in range(1, 20)] + ["The bill of Brumaire was paid."] * 40
+    m = sentences.learn(spark.createDataFrame([(x, "en") for x in texts], "text string, lang string"))
+    assert "hence" in m.starters["en"] and not set(words) & set(m.starters["en"])
+    assert set(m.after_number["en"]) == {"brumaire"}
