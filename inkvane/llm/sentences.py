@@ -57,6 +57,7 @@ _WIDE = {0xFF01 + i: 0x21 + i for i in range(94)}
 LATIN = re.compile("[A-Za-zÀ-ɏ]")
 NUMBER = "##"
 CACHE = 200_000  # looked-up types a worker keeps
+POOL = ""  # stands for the language of texts that have none and give no guess
 
 
 def _before(text: str, lo: int, at: int) -> str:
@@ -82,8 +83,8 @@ def _lower_style(text: str) -> bool:
     return sum(map(str.islower, first)) >= 0.7 * max(1, len(first))
 
 
-def _collect(batches):
-    """Counts of one part: rows (lang, kind, a, b, cat, n)."""
+def _collect(batches, frequent=None):
+    """Counts of one part: rows (lang, kind, a, b, cat, n); with frequent words, texts without a language get a guess or the pool."""
     counts: dict[tuple, Counter] = {}
 
     def rows():
@@ -107,8 +108,10 @@ def _collect(batches):
     raw: dict[str, tuple[Counter, Counter]] = {}
     for batch in batches:
         for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            if not text or not lang:
+            if not text:
                 continue
+            if not lang:
+                lang = guess_language(text, frequent) or POOL
             if not text.isascii():
                 text = HIDDEN.sub("", text)
             lower_style = _lower_style(text)
@@ -239,16 +242,33 @@ class Model:
         self.shared = shared  # types that several languages shorten
 
 
+def _frequent(c: DataFrame) -> dict[str, frozenset]:
+    """The words that make up 0.2 per cent of their language's words, at most 500 a language."""
+    words = c.where("kind = 'w' and cat = 0").groupBy("lang", "a").agg(F.sum("n").alias("n"))
+    totals = words.groupBy("lang").agg(F.sum("n").alias("words"))
+    out: dict[str, set] = {}
+    for r in words.join(F.broadcast(totals), "lang").where(F.col("n") >= 0.002 * F.col("words")).collect():
+        out.setdefault(r["lang"], set()).add(r["a"])
+    return {l: frozenset(v) for l, v in out.items()}
+
+
 def learn(df: DataFrame, text: str = "text", lang: str = "lang") -> Model:
-    """The model of all texts with a language.
+    """The model of all texts.
 
-    Types are counted over all rows; each of at least 2 occurrences is tested,
+    Texts without a language are counted in a second pass, under the language
+    that the frequent words of the first suggest, or else in a pool of their
+    own. Types are counted over all rows; each of at least 2 occurrences is tested,
     whatever the corpus. The learned types may be many: they go row by row
     into a file that the tasks look them up in. Only frequent words, at most
     500 a language, are held by the driver.
     """
-    src = df.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
-    c = cut(src.mapInArrow(_collect, "lang string, kind string, a string, b string, cat int, n long").groupBy("lang", "kind", "a", "b", "cat").agg(F.sum("n").alias("n")))
+    src = df.where(F.col(text).isNotNull()).select(F.col(text).alias("text"), F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("lang"))
+    fields = "lang string, kind string, a string, b string, cat int, n long"
+    add = lambda d: d.groupBy("lang", "kind", "a", "b", "cat").agg(F.sum("n").alias("n"))
+    labelled = cut(add(src.where("lang != ''").mapInArrow(_collect, fields)))
+    first = _frequent(labelled)
+    c = cut(add(labelled.unionByName(src.where("lang = ''").mapInArrow(lambda batches: _collect(batches, first), fields))))
+    heavy = first | _frequent(c.where(F.col("lang") == POOL))
     words = c.where("kind = 'w'").groupBy("lang", "a").agg(F.sum(F.when(F.col("cat") == 0, F.col("n")).otherwise(0)).alias("n"), F.sum(F.when(F.col("cat") == 1, F.col("n")).otherwise(0)).alias("low"))
     totals = words.groupBy("lang").agg(F.sum("n").alias("words"))
     ends = c.where("kind = 'c'")
@@ -282,10 +302,6 @@ def learn(df: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     # a word that starts sentences anyway is no more frequent behind numbers than behind words
     after = behind.where((F.col("k") >= 2) & (F.col("low") * 20 <= F.col("n")) & more("k", "numbers", rest("k", "n"), rest("numbers", "words")) & more("k", "numbers", F.col("kw"), F.col("capitals"))).select("lang", F.col("b").alias("a"))
     starter = behind.where(F.col("common") & (F.col("kw") >= 2) & more("kw", "capitals", rest("kw", "n"), rest("capitals", "words"))).select("lang", F.col("b").alias("a"))
-    frequent = words.join(F.broadcast(totals), "lang").where(n >= 0.002 * F.col("words")).select("lang", "a")
-    heavy: dict[str, set] = {}
-    for r in frequent.collect():
-        heavy.setdefault(r["lang"], set()).add(r["a"])
     kinds = {"abbr": abbr, "number": number, "after": after, "starter": starter}
     tagged = [d.select(F.lit(k).alias("what"), "lang", "a", (F.when(F.col("caps") >= 3, F.col("ends")) if k == "abbr" else F.lit(None).cast("double")).alias("ends")) for k, d in kinds.items()]
     union = tagged[0]
@@ -293,13 +309,13 @@ def learn(df: DataFrame, text: str = "text", lang: str = "lang") -> Model:
         union = union.unionByName(d)
     name, seen = publish(df.sparkSession, union.toLocalIterator())  # one partition at a time
     found = {k: {l: Types(name, k, l) for what, l in seen if what == k} for k in kinds}
-    return Model(*found.values(), {l: frozenset(v) for l, v in heavy.items()}, Types(name, "shared", ""))
+    return Model(*found.values(), heavy, Types(name, "shared", ""))
 
 
-def guess_language(text: str, model: Model) -> str | None:
+def guess_language(text: str, frequent: dict[str, frozenset]) -> str | None:
     """The language whose frequent words cover most of the text's words; null if none does."""
     words = [_plain(w) for w in WORD.findall(text[:20000])]
-    best = max(((sum(w in f for w in words), l) for l, f in model.frequent.items()), default=(0, None))
+    best = max(((sum(w in f for w in words), l) for l, f in frequent.items() if l != POOL), default=(0, None))
     return best[1] if best[0] else None
 
 
@@ -511,8 +527,8 @@ def _split_batches(model: Model):
             starts, ends, off = [], [], [0]
             for text, lang in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 if text:
-                    if lang not in model.frequent:
-                        lang = guess_language(text, model)
+                    if not lang or lang not in model.frequent:
+                        lang = guess_language(text, model.frequent) or POOL
                     if lang not in splitters:
                         splitters[lang] = Splitter(model, lang)
                     for a, b in splitters[lang].spans(text):

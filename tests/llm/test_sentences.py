@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from inkvane.llm import sentences
 from inkvane.llm.sentences import Model, Splitter
@@ -70,8 +71,6 @@ def test_nothing(make):
 
 
 def test_rare_types_of_a_large_corpus(spark):
-    from pyspark.sql import functions as F
-
     big = spark.range(60).select(F.repeat(F.lit("lo "), 100_000).alias("text"), F.lit("en").alias("lang"))
     few = [(f"It is approx. {w} wide. The rest is not.", "en") for w in ("ten", "two", "six", "five")]
     m = sentences.learn(big.unionByName(spark.createDataFrame(few, "text string, lang string")))
@@ -99,3 +98,14 @@ def test_starters_and_words_after_numbers_by_ratio(spark):
     m = sentences.learn(spark.createDataFrame([(x, "en") for x in texts], "text string, lang string"))
     assert "hence" in m.starters["en"] and not set(words) & set(m.starters["en"])
     assert set(m.after_number["en"]) == {"brumaire"}
+
+
+@pytest.mark.parametrize("labelled", [True, False])
+def test_learning_from_texts_without_a_language(make, labelled):
+    names = ["Xavira", "Yolben", "Zulmar", "Quorin", "Wexley", "Vandor"]
+    rows = [record(f"e{i}", "The mill is old. We saw the gate of the yard.", lang="en" if labelled else "") for i in range(20)]
+    rows += [record(f"r{i}", f"We met Capt. {names[i % 6]} near the gate. The yard is old.", lang=None) for i in range(60)]
+    df = make(rows)
+    m = sentences.learn(df)
+    assert list(m.abbreviations) == ["en" if labelled else sentences.POOL] and "capt" in next(iter(m.abbreviations.values()))
+    assert {r["n"] for r in sentences.split(df, model=m).groupBy("id").agg(F.count("*").alias("n")).collect()} == {2}
