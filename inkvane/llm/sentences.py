@@ -314,8 +314,12 @@ def learn(df: DataFrame, text: str = "text", lang: str = "lang") -> Model:
 
 def guess_language(text: str, frequent: dict[str, frozenset]) -> str | None:
     """The language whose frequent words cover most of the text's words; null if none does."""
-    words = [_plain(w) for w in WORD.findall(text[:20000])]
-    best = max(((sum(w in f for w in words), l) for l, f in frequent.items() if l != POOL), default=(0, None))
+    hits = dict.fromkeys((l for l in frequent if l != POOL), 0)
+    for m in WORD.finditer(text):
+        w = _plain(m.group())
+        for l in hits:
+            hits[l] += w in frequent[l]
+    best = max(((n, l) for l, n in hits.items()), default=(0, None))
     return best[1] if best[0] else None
 
 

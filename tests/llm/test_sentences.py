@@ -109,3 +109,9 @@ def test_learning_from_texts_without_a_language(make, labelled):
     m = sentences.learn(df)
     assert list(m.abbreviations) == ["en" if labelled else sentences.POOL] and "capt" in next(iter(m.abbreviations.values()))
     assert {r["n"] for r in sentences.split(df, model=m).groupBy("id").agg(F.count("*").alias("n")).collect()} == {2}
+
+
+def test_guess_reads_the_whole_text():
+    frequent = {"en": frozenset({"the"}), "de": frozenset({"die"})}
+    assert sentences.guess_language("the mill " * 2500 + "die wand " * 5000, frequent) == "de"
+    assert sentences.guess_language("x " * 20_000, frequent) is None
