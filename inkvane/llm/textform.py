@@ -138,6 +138,7 @@ class Tables:
                 if same == latin:
                     self.to[GREEK][ord(other)] = ord(greek)
                     self.to[CYRILLIC][ord(greek)] = ord(other)
+        self.over_twin = (self.extra > 0) & self.twin[self.first]  # composed letters whose base is a look-alike
 
 
 @functools.lru_cache(maxsize=1)
@@ -305,6 +306,9 @@ def form(cps: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     cps, off = _line_ends(cps, off)
     full = _has(t.trigger[cps], off)
     mixed = _has((cps >= 0x370) & (cps < 0x530), off) & ~full  # Greek or Cyrillic, nothing else to do
+    if mixed.any():
+        apart = mixed & _has(t.over_twin[cps], off)  # look-alikes under an accent show only when taken apart
+        full, mixed = full | apart, mixed & ~apart
     if full.any():
         cps, off = _some_rows(cps, off, full, lambda c, o: _full(c, o, t))
     return _some_rows(cps, off, mixed, lambda c, o: (_twins(c, o, t), o))

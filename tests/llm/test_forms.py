@@ -94,3 +94,10 @@ def test_tables_are_sound():
     with pytest.raises(IndexError):
         t.first[0x110000]
     assert random.Random(1).random() < 1
+
+
+def test_look_alikes_under_accents():
+    f = lambda t: textform.form_column(pa.array([t])).to_pylist()[0]
+    assert f("зел\u00ebный лес") == "зел\u0451ный лес" and f("caf\u0451 and лес") == "caf\u00eb and лес"
+    for t in ("зел\u00ebный лес", "caf\u0451 and лес", "к\u00f3т \u03cc\u03bb\u03b1", "\u0451лка", "L\u00e9on лес"):
+        assert f(t + "\u00a0") == f(t) + " "
