@@ -48,25 +48,35 @@ def cut_points(place, before, strength, most: int, overlap: int, pieces: int) ->
     """(start, end) as indexes into the boundaries for the given number of pieces, or None if a limit fails.
 
     The ends are set at equal distances and snapped to the strongest boundary
-    within half of the room that is left on either side, nearest first. A piece
+    within half of the room that is left on either side, nearest first. Where
+    that would be inside a word, the nearest other boundary that the limits
+    allow is taken, and the ends left are set at equal distances anew. A piece
     starts at the last boundary with at least `overlap` tokens before the end
     of the one before it.
     """
     n = int(before[-1])
     step = (n - overlap) / pieces
     room = max(0.0, (most - overlap - step) / 2)
-    out, start = [], 0
+    out, start, base, done = [], 0, overlap, 0
     for i in range(1, pieces + 1):
         if i == pieces:
             end = len(place) - 1
         else:
-            goal = overlap + i * step
+            goal = base + (i - done) * step
             lo, hi = np.searchsorted(before, goal - room, "left"), np.searchsorted(before, goal + room, "right")
             if lo >= hi:
                 lo = max(0, int(np.searchsorted(before, goal, "right")) - 1)
                 hi = lo + 1
             near = np.arange(lo, hi)
             best = near[np.lexsort((np.abs(before[near] - goal), -strength[near]))[0]]
+            if strength[best] == TOKEN:
+                lo = np.searchsorted(before, max(n - (pieces - i) * (most - overlap), before[start] + overlap + 1), "left")
+                far = np.arange(lo, np.searchsorted(before, before[start] + most, "right"))
+                far = far[strength[far] > TOKEN]
+                if len(far):
+                    best = far[np.lexsort((-strength[far], np.abs(before[far] - goal)))[0]]
+                    base, done, step = int(before[best]), i, (n - int(before[best])) / (pieces - i)
+                    room = max(0.0, (most - overlap - step) / 2)
             end = int(best)
         if end <= start or before[end] - before[start] > most:
             return None
@@ -81,9 +91,10 @@ def cut_points(place, before, strength, most: int, overlap: int, pieces: int) ->
 def cut_text(text: str, enc: tokens.Encoder, most: int, overlap: int) -> list[tuple[int, int, int, int]]:
     """(start, end, tokens, strength of the cut behind it) of each piece; [] for a text within the limit.
 
-    The number of pieces is the least that can hold the text; one more is
-    tried whenever a piece on its own has more than `most` tokens, or a cut
-    would fall inside a word although there are words. A single character of
+    The number of pieces is the least that can hold the text, and a sixteenth
+    more so that long texts too have room for natural boundaries. More are
+    tried, in proportion, while a piece on its own has more than `most` tokens
+    or a cut falls inside a word although its piece has a word's end. A single character of
     more than `most` tokens is a piece of its own.
     """
     if not text or len(text.encode("utf-8")) <= most:
@@ -94,8 +105,10 @@ def cut_text(text: str, enc: tokens.Encoder, most: int, overlap: int) -> list[tu
         return []
     overlap = max(0, min(overlap, most - 1))
     least = -(-(n - overlap) // (most - overlap))
-    best = None
-    for pieces in range(least, 4 * least + 16):
+    words = before[strength > TOKEN]
+    best, nxt = None, least + least // 16
+    while nxt < 4 * least + 16:
+        pieces, nxt = nxt, nxt + 1 + nxt // 16
         cuts = cut_points(place, before, strength, most, overlap, pieces)
         if cuts is None:
             continue
@@ -103,10 +116,10 @@ def cut_text(text: str, enc: tokens.Encoder, most: int, overlap: int) -> list[tu
         if max(sizes) > most:
             continue
         got = [(int(place[a]), int(place[b]), s, int(strength[b])) for (a, b), s in zip(cuts, sizes)]
-        weak = sum(g[3] == TOKEN for g in got[:-1])
+        weak = sum(strength[b] == TOKEN and np.searchsorted(words, before[b], "right") > np.searchsorted(words, before[a] + overlap, "right") for a, b in cuts[:-1])
         if best is None or weak < best[0]:
             best = (weak, got)
-        if not weak or pieces > least + 2:
+        if not weak:
             break
     if best is not None:
         return best[1]

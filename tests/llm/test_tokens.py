@@ -141,3 +141,15 @@ def test_pieces_table(spark):
     assert {r["doc_id"] for r in rows} == {1, 5} and max(r["n_tokens"] for r in rows) <= 64
     assert all(r["piece"] == {1: long, 5: "z" * 5000}[r["doc_id"]][r["start_pos"] : r["end_pos"]] for r in rows)
     assert pieces.split(df.where("false"), limits).count() == 0 and pieces.split(df, limits.where("false")).count() == 0
+
+
+def test_pieces_of_a_very_long_text():
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(rng.randint(1, 5)))
+    t = " ".join(" ".join(word() for _ in range(rng.randint(2, 6))).capitalize() + "." for _ in range(9000))
+    e = encoder()
+    n = len(e(t))
+    got = pieces.cut_text(t, e, 512, 48)
+    least = -(-(n - 48) // (512 - 48))
+    assert least > 150 and least <= len(got) <= 1.1 * least and max(x[2] for x in got) <= 512
+    assert min(x[3] for x in got) > pieces.TOKEN and sum(x[3] >= pieces.SENTENCE for x in got) > 0.8 * len(got)
