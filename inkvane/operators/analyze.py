@@ -11,7 +11,7 @@ from ..functions import text as tx
 from . import decision, features, scorers
 from .detector import Detector, compare
 
-MOST_CHARS = 50_000
+MOST_CHARS = 50_000  # the limit of a single request; batch tables pass None
 
 
 @dataclass
@@ -52,9 +52,10 @@ class Registry:
         return {"status": "ok", "detectors": len(self.systems)}
 
 
-def rejected(text: Column) -> Column:
-    """Why a text can't be analyzed, or null: missing, blank, too long."""
-    return F.when(text.isNull(), "missing").when(~F.regexp_like(text, F.lit(rf"[^{tx.SPACE}]")), "blank").when(F.length(text) > MOST_CHARS, "too long")
+def rejected(text: Column, most_chars: int | None = MOST_CHARS) -> Column:
+    """Why a text can't be analyzed, or null: missing, blank, too long (never with no limit)."""
+    why = F.when(text.isNull(), "missing").when(~F.regexp_like(text, F.lit(rf"[^{tx.SPACE}]")), "blank")
+    return why if most_chars is None else why.when(F.length(text) > most_chars, "too long")
 
 
 def featurize(df: DataFrame, key: str, text: str, s: System) -> DataFrame:
@@ -73,13 +74,13 @@ def sentence_scores(df: DataFrame, key: str, s: System, text: str = "text") -> D
     return one.join(model.predict(feats).select("_sk", "p_ai"), "_sk").drop("_sk")
 
 
-def analyze(df: DataFrame, s: System, key: str = "id", text: str = "text") -> DataFrame:
+def analyze(df: DataFrame, s: System, key: str = "id", text: str = "text", most_chars: int | None = MOST_CHARS) -> DataFrame:
     """One row per text: label, confidence, scores, sentence heat and evidence; rejected texts have only a reason.
 
     Evidence carries its kind: 'model' for what the classifier gives,
     'heuristic' for statistics of the text. Keys must be unique.
     """
-    src = df.select(F.col(key), F.col(text).alias("text")).withColumn("reason", rejected(F.col("text")))
+    src = df.select(F.col(key), F.col(text).alias("text")).withColumn("reason", rejected(F.col("text"), most_chars))
     ok = src.where("reason is null").select(key, "text")
     feats = s.document.predict(featurize(ok, key, "text", s), "doc_p")
     sents = sentence_scores(ok, key, s)

@@ -359,7 +359,7 @@ def analyze_bundle(spark, d):
         dist.setdefault(r["label"], {})[r["feature"]] = {"mean": r["mean"], "std": r["std"]}
     model = detector.Detector(LITERAL.features, LITERAL.center, LITERAL.scale, LITERAL.coef, LITERAL.intercept, LITERAL.calibration, "lexicon", {}, dist)
     s = analyze.System("demo", model, scorer="lexicon", scorer_options={"table": read_table(spark, d, "lexicon")})
-    return analyze.analyze(_docs(spark, d), s, "doc_id")
+    return analyze.analyze(_docs(spark, d), s, "doc_id", most_chars=None)
 
 
 def queries() -> dict:

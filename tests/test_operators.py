@@ -244,6 +244,20 @@ def test_registry_and_rejections(spark):
     assert got[2][0] == "missing" and got[3][0] == "blank" and got[4][0] == "too long" and got[1][0] is None and got[1][1]
 
 
+def test_long_texts_of_batch_tables(spark, monkeypatch):
+    from inkvane.plans import queries
+
+    docs = spark.createDataFrame([(1, "One two. " * 5600), (2, " ")], "doc_id int, text string")
+    one = analyze.System("demo", detector.Detector(["sent_count"], [1.0], [1.0], [0.5], 0.0))
+    monkeypatch.setattr(queries, "_docs", lambda *_: docs)
+    monkeypatch.setattr(queries, "read_table", lambda *_: None)
+    monkeypatch.setattr(queries, "_labelled", lambda *_: None)
+    monkeypatch.setattr(queries.detector, "distributions", lambda *_: spark.createDataFrame([], "label string, feature string, mean double, std double"))
+    monkeypatch.setattr(queries.analyze, "System", lambda *_, **__: one)
+    got = {r["doc_id"]: (r["reason"], r["label"]) for r in queries.analyze_bundle(spark, "").collect()}
+    assert got[1][0] is None and got[1][1] and got[2] == ("blank", None)
+
+
 def test_streaming(spark, tmp_path):
     from inkvane.streaming import scoring
 
