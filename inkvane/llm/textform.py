@@ -35,6 +35,9 @@ HYPHENS = "‐‑﹣－"
 LATIN, CYRILLIC, GREEK = 1, 2, 3
 THAI_TONES = range(0x0E48, 0x0E4C)
 NIKHAHIT, SARA_AA, SARA_AM = 0x0E4D, 0x0E32, 0x0E33
+#: First code point and number of leading, vowel and trailing jamo, and the first syllable.
+LEAD, LEADS, VOWEL, VOWELS, TRAIL, TRAILS, SYLLABLE = 0x1100, 19, 0x1161, 21, 0x11A7, 28, 0xAC00
+COMPATIBLE_JAMO = range(0x3131, 0x318F)
 
 
 def _source_chars():
@@ -44,6 +47,8 @@ def _source_chars():
 
 
 def _decompose(ch: str) -> str:
+    if ord(ch) in COMPATIBLE_JAMO:  # letters shown singly, which must not join into syllables
+        return ch
     spec = unicodedata.decomposition(ch)
     if not spec:
         return ch
@@ -125,6 +130,8 @@ class Tables:
         self.second = np.zeros(LIMIT, bool)  # may be the second of a pair
         self.second[np.unique(keys & np.uint64(0x1FFFFF)).astype(np.int64)] = True
         self.trigger |= self.second & (np.arange(LIMIT) != SARA_AA)
+        # a vowel or trailing jamo joins what stands before it; the syllables themselves need nothing
+        self.trigger[VOWEL : VOWEL + VOWELS] = self.trigger[TRAIL + 1 : TRAIL + TRAILS] = True
         # look-alikes: to[script][c] is the twin of c in that script
         self.to = np.tile(np.arange(LIMIT, dtype=np.uint32), (4, 1))
         self.twin = np.zeros(LIMIT, bool)
@@ -187,6 +194,28 @@ def _thai(cps, off):
     return cps
 
 
+def _hangul(cps, off):
+    """Jamo that stand together become syllables, by arithmetic on whole arrays: lead and vowel, then syllable and trail."""
+    for first, count, lo, many in ((LEAD, LEADS, VOWEL, VOWELS), (SYLLABLE, LEADS * VOWELS * TRAILS, TRAIL + 1, TRAILS - 1)):
+        at = np.flatnonzero((cps[1:] >= lo) & (cps[1:] < lo + many)) + 1 if len(cps) > 1 else np.empty(0, int)
+        if not len(at):
+            continue
+        border = np.zeros(len(cps) + 1, bool)
+        border[off] = True
+        base = cps[at - 1].astype(np.int64) - first
+        ok = ~border[at] & (base >= 0) & (base < count)
+        if first == SYLLABLE:
+            ok &= base % TRAILS == 0  # a syllable holds one trail
+        at, base = at[ok], base[ok]
+        step = cps[at].astype(np.int64) - lo
+        cps = cps.copy()
+        cps[at - 1] = SYLLABLE + (base * VOWELS + step) * TRAILS if first == LEAD else SYLLABLE + base + step + 1
+        mask = np.ones(len(cps), bool)
+        mask[at] = False
+        cps, off = cp.keep(cps, off, mask)
+    return cps, off
+
+
 def _compose(cps, off, t):
     """Joins a starter with following marks in rounds: each round joins at most one mark to a starter."""
     while True:
@@ -272,7 +301,7 @@ def _full(cps, off, t):
     else:
         cps = t.first[cps]
     cps = _thai(_order_marks(cps, off, t), off)
-    return _compose(_twins(cps, off, t), off, t)
+    return _compose(*_hangul(_twins(cps, off, t), off), t)
 
 
 def _some_rows(cps, off, rows, fn):

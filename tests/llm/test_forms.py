@@ -38,7 +38,7 @@ def same(text):
     return unicodedata.normalize("NFC", s).replace("ํา", "ำ")
 
 
-@settings(max_examples=150, deadline=None)
+@settings(max_examples=500, deadline=None)
 @given(st.lists(st.text(alphabet=[c for c in ALPHABET if c not in "аеоНАХοΑ"], max_size=30), min_size=1, max_size=20))
 def test_against_the_normaliser(texts):
     assert textform.form_column(pa.array(texts)).to_pylist() == [same(t) for t in texts]
@@ -55,6 +55,28 @@ def test_round_trip_and_fixed_point(texts):
     assert textform.form_column(once).to_pylist() == once.to_pylist()
 
 
+def test_korean_syllables():
+    f = lambda t: textform.form_column(pa.array([t])).to_pylist()[0]
+    whole = [chr(c) for c in range(0xAC00, 0xD7A4)]
+    apart = unicodedata.normalize("NFD", "".join(whole))
+    assert f(apart) == "".join(whole)
+    assert textform.form_column(pa.array([unicodedata.normalize("NFD", c) for c in whole])).to_pylist() == whole
+    assert f("\u1100\u1161\u11a8") == "\uac01" and f("\uac00\u11a8") == "\uac01" and f("\u1100\u1161") == "\uac00"
+    assert f("\uac01\u11a8") == "\uac01\u11a8" and f("\u1161\u11a8") == "\u1161\u11a8"
+    assert textform.form_column(pa.array(["\u1100", "\u1161"])).to_pylist() == ["\u1100", "\u1161"]  # not across rows
+    assert f("\u3131\u314f") == "\u3131\u314f" == f("\uffa1\uffc2")  # letters shown singly stay so
+
+
+def test_korean_copies(make):
+    from inkvane.llm import similarity
+
+    t = "한국어 문장은 여러 글자로 이루어지며 저장 방식에 따라 달라질 수 있습니다. 그래서 같은 글이 다르게 저장되기도 합니다. 이런 글도 하나의 형태로 모아야 합니다."
+    df = make([record("a", t), record("b", unicodedata.normalize("NFD", t)), record("c", t.replace("한국어", "일본어"))])
+    assert [tuple(r) for r in forms.same_form_pairs(df).collect()] == [("a", "b")]
+    pairs = {tuple(r) for r in similarity.near_duplicate_pairs(df).collect()}
+    assert pairs == {("a", "b"), ("a", "c"), ("b", "c")}
+
+
 def test_look_alikes():
     f = lambda t: textform.form_column(pa.array([t])).to_pylist()[0]
     assert f("The mеаѕurеd ѕtаtіоn; Οverall") == "The measured station; Overall"
