@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 
 import numpy as np
@@ -16,32 +17,38 @@ _SPACE = re.compile(r"\s")
 _PLAIN = sentences.Splitter(sentences.Model({}, {}, {}, {}, {}), None)
 
 
-def boundaries(text: str, enc: tokens.Encoder) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(place, tokens before it, strength) of every place between tokens that is also one between characters."""
-    place, before, strength = [0], [0], [PARAGRAPH]
-    at = n = 0
-    for word, ids in enc.pieces(text):
-        if len(ids) > 1 and len(word) > 1:  # places inside a word
-            raw = word.encode("utf-8")
-            chars, k, byte = np.cumsum([len(c.encode("utf-8")) for c in word]), 0, 0
-            starts = {int(c): i + 1 for i, c in enumerate(chars)}
-            for i in ids[:-1]:
-                byte += enc.width[i]
-                k += 1
-                if byte in starts and byte < len(raw):
-                    place.append(at + starts[byte])
-                    before.append(n + k)
-                    strength.append(TOKEN)
-        at += len(word)
-        n += len(ids)
-        place.append(at)
-        before.append(n)
-        strength.append(WORD if at < len(text) and (text[at].isspace() or word.isspace()) else TOKEN)
-    place, before, strength = np.array(place), np.array(before), np.array(strength)
-    ends = [b for _, b in _PLAIN.spans(text)]
-    strength[np.isin(place, ends)] = SENTENCE
+def widths(ranks: dict[bytes, int]) -> np.ndarray:
+    """Bytes of each token."""
+    out = np.zeros(max(ranks.values()) + 1, np.int64)
+    out[list(ranks.values())] = [len(b) for b in ranks]
+    return out
+
+
+@functools.lru_cache(maxsize=1)
+def _blanks() -> np.ndarray:
+    """White space by code point."""
+    out = np.zeros(0x110000, bool)
+    out[[c for c in range(0x10000) if chr(c).isspace()]] = True
+    return out
+
+
+def boundaries(text: str, enc: tokens.Encoder) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(place, tokens before it, strength, whether a word of the tokenizer ends there) of every place between tokens that is also one between characters."""
+    of, _ = enc.cut([text])
+    raw, signs = np.frombuffer(text.encode("utf-8"), np.uint8), np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    first = np.append((raw & 0xC0) != 0x80, True)  # bytes that begin a character, and the end
+    ends = np.cumsum(np.concatenate(([0], enc.width[enc.ids_of(of)])))  # bytes before each token
+    before = np.flatnonzero(first[ends])
+    place = (np.cumsum(first) - 1)[ends[before]]
+    whole = np.zeros(len(signs) + 1, bool)
+    whole[np.cumsum(np.concatenate(([0], enc.chars[of])))] = True
+    blank = np.concatenate(([False], _blanks()[signs], [False]))
+    strength = np.where(whole & (blank[1:] | blank[:-1]), WORD, TOKEN)  # by place: white space on either side of a word's end
+    strength[[0, -1]] = PARAGRAPH, TOKEN
+    strength, whole = strength[place], whole[place]
+    strength[np.isin(place, [b for _, b in _PLAIN.spans(text)])] = SENTENCE
     strength[np.isin(place, [m.start() for m in sentences.BLANK_LINE.finditer(text)])] = PARAGRAPH
-    return place, before, strength
+    return place, before, strength, whole
 
 
 def cut_points(place, before, strength, most: int, overlap: int, pieces: int) -> list[tuple[int, int]] | None:
@@ -97,12 +104,22 @@ def cut_text(text: str, enc: tokens.Encoder, most: int, overlap: int) -> list[tu
     or a cut falls inside a word although its piece has a word's end. A single character of
     more than `most` tokens is a piece of its own.
     """
-    if not text or len(text.encode("utf-8")) <= most:
+    if not text:
         return []
-    place, before, strength = boundaries(text, enc)
+    place, before, strength, whole = boundaries(text, enc)
     n = int(before[-1])
     if n <= most:
         return []
+    known: dict[tuple[int, int], int] = {}
+
+    def size(a, b):
+        """Tokens of a piece on its own: those of its words, and only a piece that starts or ends inside a word is encoded."""
+        if whole[a] and whole[b]:
+            return int(before[b] - before[a])
+        if (a, b) not in known:
+            known[a, b] = int(enc.count([text[place[a] : place[b]]])[0])
+        return known[a, b]
+
     overlap = max(0, min(overlap, most - 1))
     least = -(-(n - overlap) // (most - overlap))
     words = before[strength > TOKEN]
@@ -112,7 +129,7 @@ def cut_text(text: str, enc: tokens.Encoder, most: int, overlap: int) -> list[tu
         cuts = cut_points(place, before, strength, most, overlap, pieces)
         if cuts is None:
             continue
-        sizes = [len(enc(text[place[a] : place[b]])) for a, b in cuts]
+        sizes = [size(a, b) for a, b in cuts]
         if max(sizes) > most:
             continue
         got = [(int(place[a]), int(place[b]), s, int(strength[b])) for (a, b), s in zip(cuts, sizes)]
@@ -168,11 +185,12 @@ def split(df: DataFrame, limits: DataFrame, key: str = "doc_id", text: str = "te
     def run(batches):
         enc = tok.encoder()
         if not hasattr(enc, "width"):
-            enc.width = {i: len(b) for b, i in enc.ranks.items()}
+            enc.width = widths(enc.ranks)
         for batch in batches:
-            keys, rows = [], []
-            for k, t in enumerate(batch.column(1).to_pylist()):
-                for i, (a, b, n, s) in enumerate(cut_text(t, enc, most, overlap) if t else ()):
+            keys, rows, texts = [], [], batch.column(1).to_pylist()
+            for k in np.flatnonzero(enc.count(texts) > most).tolist():
+                t = texts[k]
+                for i, (a, b, n, s) in enumerate(cut_text(t, enc, most, overlap)):
                     keys.append(k)
                     rows.append((i, a, b, n, s, t[a:b]))
             cols = list(zip(*rows)) or [()] * 6

@@ -109,7 +109,7 @@ def test_mix_of_nothing(spark):
 
 def encoder():
     e = tokens.Encoder(RANKS)
-    e.width = {i: len(b) for b, i in RANKS.items()}
+    e.width = pieces.widths(RANKS)
     return e
 
 
