@@ -15,7 +15,6 @@ from ..plans.lineage import cut, shuffle_partitions
 from . import categories as cat
 from . import tokens
 
-BUCKETS = 256
 SHARE = 10_000
 
 
@@ -33,11 +32,6 @@ def supply(docs: DataFrame, targets: DataFrame) -> DataFrame:
     return t.join(per, "source", "left").withColumn("tokens", F.coalesce("tokens", F.lit(0))).join(F.broadcast(total), F.lit(True))  # one row
 
 
-def short(supplied: DataFrame) -> DataFrame:
-    """The sources whose tokens, used max_repeats times, are fewer than their share of the mix."""
-    return supplied.where(F.col("tokens") * F.col("max_repeats") * SHARE < F.col("share_bp") * F.col("budget"))
-
-
 def level(rows: list, budget: int) -> float:
     """The virtual time at which the sources have given the budget together, each no more than it can; inf if they can't."""
     ends = sorted((r["tokens"] * r["max_repeats"] / r["share_bp"], r["share_bp"]) for r in rows if r["share_bp"] > 0)
@@ -50,32 +44,54 @@ def level(rows: list, budget: int) -> float:
     return float("inf")
 
 
-def mix(docs: DataFrame, targets: DataFrame, seed: int = 1) -> DataFrame:
-    """(doc_id, source, copy, n_tokens, position): the mix in order; copy counts from 0.
+def queue(docs: DataFrame, supplied: DataFrame, seed: int = 1) -> DataFrame:
+    """(doc_id, source, copy, n_tokens, share_bp, served, finish): every use of a document with its virtual finish time.
 
-    docs: (doc_id, source, n_tokens). Sources without a target or with share 0
-    and empty documents are left out. If all sources together can't fill the
-    budget, everything that may be used is. Running sums of a source are made
-    per hash bucket and added up, so that a source of most documents isn't
-    sorted in one task; the same holds for the running sum over the mix.
+    docs: (doc_id, source, n_tokens). served are the tokens of the source up to
+    and with the document, earlier copies included; finish is served by
+    share_bp. Sources without a target or with share 0 and empty documents are
+    left out, and so is what comes only after the mix is full and every target
+    met. Running sums of a source are made per hash bucket and added up, so
+    that a source of most documents isn't sorted in one task.
     """
-    spark = docs.sparkSession
-    s = supply(docs, targets)
-    rows = s.collect()  # one row a target
+    rows = supplied.collect()  # one row a target
     budget = rows[0]["budget"] if rows else 0
-    top = level(rows, budget)
-    own = docs.select("doc_id", "source", "n_tokens").join(F.broadcast(s.select("source", "share_bp", "max_repeats", F.col("tokens").alias("all"))), "source").where("share_bp > 0 and n_tokens > 0")
+    last = max(level(rows, budget), budget / SHARE)
+    own = docs.select("doc_id", "source", "n_tokens").join(F.broadcast(supplied.select("source", "share_bp", "max_repeats", F.col("tokens").alias("all"))), "source").where("share_bp > 0 and n_tokens > 0")
     own = own.withColumn("order", F.xxhash64("doc_id", "source", F.lit(seed))).withColumn("bucket", F.shiftrightunsigned("order", 56))
-    ahead = own.groupBy("source", "bucket").agg(F.sum("n_tokens").alias("t")).withColumn("ahead", F.coalesce(F.sum("t").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("t")
+    ahead = own.groupBy("source", "bucket").agg(F.sum("n_tokens").alias("t"), F.max(F.col("n_tokens") / F.col("share_bp")).alias("longest"))
+    ahead = ahead.withColumn("ahead", F.coalesce(F.sum("t").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    ahead = ahead.withColumn("longest", F.max("longest").over(Window.partitionBy("source"))).drop("t")  # at most 256 rows a source
     run = own.withColumn("run", F.sum("n_tokens").over(Window.partitionBy("source", "bucket").orderBy("order", "doc_id").rowsBetween(Window.unboundedPreceding, 0))).join(ahead, ["source", "bucket"])
-    longest = (own.agg(F.max(F.col("n_tokens") / F.col("share_bp"))).first()[0] or 0.0) if rows else 0.0
-    run = run.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("max_repeats") - 1)))
-    run = run.withColumn("finish", (F.col("copy") * F.col("all") + F.col("ahead") + F.col("run")) / F.col("share_bp"))
-    if top != float("inf"):  # what can't come before the cut
-        run = run.where(F.col("finish") <= top + longest + 1e-6)
-    parts = shuffle_partitions(spark)
+    uses = F.col("max_repeats")
+    if last != float("inf"):  # no more copies than can come before the cut
+        uses = F.least(uses, F.floor((F.lit(last) + F.col("longest")) * F.col("share_bp") / F.col("all")).cast("long") + 1)
+    run = run.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), uses - 1)))
+    run = run.withColumn("served", F.col("copy") * F.col("all") + F.col("ahead") + F.col("run")).withColumn("finish", F.col("served") / F.col("share_bp"))
+    if last != float("inf"):
+        run = run.where(F.col("finish") <= F.lit(last) + F.col("longest") + 1e-6)
+    return run.select("doc_id", "source", "copy", "n_tokens", "share_bp", "served", "finish")
+
+
+def short(queued: DataFrame, supplied: DataFrame) -> DataFrame:
+    """The targets whose source has run out before its share of the mix: its last finish time comes before that of the share."""
+    last = queued.groupBy("source").agg(F.max("served").alias("served"))
+    return supplied.join(last, "source", "left").where(F.coalesce("served", F.lit(0)) * SHARE < F.col("share_bp") * F.col("budget")).drop("served")
+
+
+def mix(docs: DataFrame, targets: DataFrame, seed: int = 1) -> DataFrame:
+    """(doc_id, source, copy, n_tokens, position): the mix in order; copy counts from 0.
+
+    The queue's documents by finish time, up to the budget: half of all tokens.
+    If all sources together can't fill the budget, everything that may be used
+    is. The running sum over the mix goes by range partitions, so that no task
+    sorts more than one of them.
+    """
+    s = supply(docs, targets)
+    budget = (s.select("budget").first() or [0])[0]
     key = ["finish", "source", "doc_id", "copy"]
-    placed = cut(run.select("doc_id", "source", "copy", "n_tokens", "finish").repartitionByRange(parts, *key).withColumn("part", F.spark_partition_id()))
+    run = queue(docs, s, seed).select("doc_id", "source", "copy", "n_tokens", "finish")
+    placed = cut(run.repartitionByRange(shuffle_partitions(docs.sparkSession), *key).withColumn("part", F.spark_partition_id()))
     before = placed.groupBy("part").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("c"))
     w = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
     before = before.select("part", F.coalesce(F.sum("t").over(w), F.lit(0)).alias("t0"), F.coalesce(F.sum("c").over(w), F.lit(0)).alias("c0"))

@@ -71,7 +71,8 @@ def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     docs = mixing.sized(read_table(spark, folder, "documents"))
-    return mixing.short(mixing.supply(docs, read_table(spark, folder, "mix_targets"))).select("source")
+    supplied = mixing.supply(docs, read_table(spark, folder, "mix_targets"))
+    return mixing.short(mixing.queue(docs, supplied), supplied).select("source")
 
 
 def p8_mix(spark: SparkSession, folder: str) -> DataFrame:

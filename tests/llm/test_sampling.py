@@ -21,7 +21,7 @@ def table(make, n=500, seed=1):
 
 def test_unmet(spark, make):
     df = table(make)
-    got = {(r["axis"], r["category"]): (r["available"], r["needed"]) for r in sampling.unmet(sampling.records_with_axes(df), spark.createDataFrame(TARGETS, SCHEMA)).collect()}
+    got = {(r["axis"], r["category"]): (r["reached"], r["needed"]) for r in sampling.unmet(sampling.records_with_axes(df), spark.createDataFrame(TARGETS, SCHEMA)).collect()}
     assert got == {("source", "small"): (12, 30), ("source", "none"): (0, 10), ("odd", "x"): (0, 1)}
 
 
@@ -48,5 +48,11 @@ def test_nothing(spark, make):
 
 def test_probabilities_meet_what_they_can():
     cells = [{"a": "x", "b": None, "count": 50}, {"a": "x", "b": "p", "count": 50}, {"a": "y", "b": "q", "count": 10}]
-    take = sampling.fit_probabilities(cells, ["a", "b"], {("a", "x"): (0.5, 0), ("a", "y"): (0.5, 0)}, 30)
+    take, left = sampling.fit_probabilities(cells, ["a", "b"], {("a", "x"): (0.5, 0), ("a", "y"): (0.5, 0)}, 30)
     assert take[2] == pytest.approx(10, abs=0.5) and all(t <= c["count"] + 1e-9 for t, c in zip(take, cells))
+
+
+def test_contradicting_targets_are_named():
+    cells = [{"a": "x", "b": "p", "count": 50}, {"a": "y", "b": "q", "count": 50}]
+    _, left = sampling.fit_probabilities(cells, ["a", "b"], {("a", "x"): (0.9, 0), ("a", "y"): (0.1, 0), ("b", "p"): (0.2, 0), ("b", "q"): (0.8, 0)}, 20)
+    assert left > 1

@@ -83,7 +83,7 @@ def test_mix(spark):
     total = sum(n for *_, n in rows)
     assert {r["budget"] for r in s.collect()} == {total // 2}
     tiny = sum(n for _, _, x, n in rows if x == "tiny")
-    assert {r["source"] for r in mixing.short(s).collect()} == {"tiny"} and tiny * 2 < 0.2 * (total // 2)
+    assert {r["source"] for r in mixing.short(mixing.queue(docs, s), s).collect()} == {"tiny"} and tiny * 2 < 0.2 * (total // 2)
     out = mixing.mix(docs, targets).collect()
     used = {}
     for r in out:
@@ -98,10 +98,23 @@ def test_mix(spark):
     assert rep["tiny"]["falls_short"] and not rep["big"]["falls_short"] and rep["gone"]["tokens"] == 0
 
 
+@pytest.mark.parametrize("shares", [(1000, 500, 100), (9000, 8000, 7000), (4000, 3500, 2500)])
+def test_short_sources(spark, shares):
+    """Shares that sum to less or more than the whole; against plain arithmetic."""
+    rng = random.Random(sum(shares))
+    rows = [(i, rng.choice("aaaaaabbbc"), rng.randint(0, 50)) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, n_tokens long")
+    plan = list(zip("abc", shares, (1, 3, 2))) + [("none", 10, 5)]
+    s = mixing.supply(docs, spark.createDataFrame(plan, TARGETS))
+    budget = sum(n for *_, n in rows) // 2
+    want = {x for x, bp, k in plan if sum(n for _, y, n in rows if y == x) * k * 10000 < bp * budget}
+    assert {r["source"] for r in mixing.short(mixing.queue(docs, s), s).collect()} == want
+
+
 def test_mix_of_nothing(spark):
     docs = spark.createDataFrame([], "doc_id long, source string, n_tokens long")
     targets = spark.createDataFrame([("a", 10000, 2)], TARGETS)
-    assert mixing.mix(docs, targets).count() == 0 and mixing.short(mixing.supply(docs, targets)).count() == 0
+    assert mixing.mix(docs, targets).count() == 0 and mixing.short(mixing.queue(docs, mixing.supply(docs, targets)), mixing.supply(docs, targets)).count() == 0
     one = spark.createDataFrame([(1, "a", 10), (2, "b", 90)], "doc_id long, source string, n_tokens long")
     assert [tuple(r)[:3] for r in mixing.mix(one, targets).orderBy("position").collect()] == [(1, "a", 0), (1, "a", 1)]  # all that may be used
     assert mixing.mix(one, spark.createDataFrame([], TARGETS)).count() == 0
