@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from . import forms, mixing, pieces, sampling, sentences, similarity, tokens, units
+from . import forms, mixing, overlaps, pieces, sampling, sentences, similarity, tokens, units
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -39,13 +39,13 @@ def p3_forms(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
-    pairs = similarity.split_overlaps(read_table(spark, folder, "records"))
+    pairs = overlaps.split_overlaps(read_table(spark, folder, "records"))
     return pairs.select(F.least("train_id", "eval_id").alias("id_a"), F.greatest("train_id", "eval_id").alias("id_b")).distinct()
 
 
 def p4_report(spark: SparkSession, folder: str) -> DataFrame:
     records = read_table(spark, folder, "records")
-    return similarity.overlap_report(records, similarity.split_overlaps(records))
+    return overlaps.overlap_report(records, overlaps.split_overlaps(records))
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:

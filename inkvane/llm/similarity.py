@@ -27,7 +27,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.lineage import cut, shuffle_partitions
-from . import categories as cat
 from . import codepoints as cp
 from . import textform, units
 
@@ -314,7 +313,7 @@ def _counted(batches):
             yield pa.RecordBatch.from_arrays([pa.array(both.view(np.int64))], ["pair"])
 
 
-def candidates(texts: DataFrame) -> DataFrame:
+def candidates(texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(pair): document words a << 32 | b that share MEETINGS super-runs. texts: (text, side), side 0, or 1 and 2 to be joined."""
     spark = texts.sparkSession
     parts = shuffle_partitions(spark)
@@ -451,46 +450,6 @@ def _expand(links, left, right):
     return both.where("x <> y and (class_a <> class_b or x < y)").select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
 
 
-def _sides(df, key, text, split):
-    """(id, text, side, split, source): side 1 for train, 2 for the evaluation splits."""
-    name = cat.split_name(F.col(split))
-    source = cat.plain(F.col("source")) if "source" in df.columns else F.lit(None).cast("string")
-    rows = df.select(F.col(key).cast("string").alias("id"), F.col(text).alias("text"), name.alias("split"), source.alias("source"))
-    return rows.where("id is not null and text is not null and split is not null").withColumn("side", F.when(F.col("split") == "train", 1).otherwise(2).cast("byte"))
-
-
-def split_overlaps(df: DataFrame, key: str = "id", text: str = "text", split: str = "split", threshold: float = THRESHOLD) -> DataFrame:
-    """(train_id, eval_id, similarity): pairs of a train record and a val or test record that reach the threshold.
-
-    The super-runs of the evaluation records are the index and those of the
-    train records probe it, tile by tile, under the length filter; no pair
-    within one side is ever made. Records without a split take no part. Copies
-    across the sides have similarity 1.
-    """
-    rows = _sides(df, key, text, split)
-    m = cut(rows.mapInArrow(_side_classes, "id string, side byte, class long").distinct())
-    links = verified(rows, candidates(rows.select("text", "side")), "text", threshold)
-    train = m.where("side = 1").select(F.col("class").alias("class_a"), F.col("id").alias("train_id"))
-    other = m.where("side = 2").select(F.col("class").alias("class_b"), F.col("id").alias("eval_id"))
-    return links.join(train, "class_a").join(other, "class_b").where("train_id <> eval_id").groupBy("train_id", "eval_id").agg(F.max("similarity").alias("similarity"))
-
-
-def _side_classes(batches):
-    for batch in batches:
-        t = pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text"), batch.column("side")], ["id", "text", "side"])
-        for a, b in cp.slices(t.column(1)):
-            cps, off = textform.compared(*cp.decode(t.column(1).slice(a, b - a))[:2])
-            out = [t.column(0).slice(a, b - a), t.column(2).slice(a, b - a), pa.array(cp.row_hash(cps, off).view(np.int64))]
-            yield pa.RecordBatch.from_arrays(out, ["id", "side", "class"]).filter(pa.array(np.diff(off) >= SHORTEST))
-
-
-def overlap_report(df: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(split, source, records, pairs, exact): evaluation records that overlap with train, per split and source."""
-    info = _sides(df, "id", "text", "split").where("side = 2").groupBy(F.col("id").alias("eval_id")).agg(F.max("split").alias("split"), F.max("source").alias("source"))
-    per = pairs.groupBy("eval_id").agg(F.count("*").alias("n"), F.sum((F.col("similarity") == 1).cast("int")).alias("e"))
-    return per.join(info, "eval_id").groupBy("split", "source").agg(F.count("*").alias("records"), F.sum("n").alias("pairs"), F.sum("e").alias("exact"))
-
-
 def groups(df: DataFrame, key: str = "id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(id, class_id, links): each record that takes part with its near-duplicate group and its number of links.
 

@@ -70,23 +70,8 @@ def test_groups(make):
         assert c == find(i) and n == sum(i in p for p in pairs)
 
 
-def test_overlaps(make):
-    rows = corpus(7, 40)
-    rng = random.Random(1)
-    words = ["train", "TRAINING", "val ", "dev", "Test", None]
-    split = {i: rng.choice(words) for i, _ in rows}
-    side = {i: None if s is None else s.strip().lower() in ("train", "training") for i, s in split.items()}
-    df = make([record(i, t, split=split[i]) for i, t in rows])
-    got = similarity.split_overlaps(df)
-    want = {p for p in brute(rows) if side[p[0]] is not None and side[p[1]] is not None and side[p[0]] != side[p[1]]}
-    assert {tuple(sorted((r["train_id"], r["eval_id"]))) for r in got.collect()} == want
-    rep = similarity.overlap_report(df, got).collect()
-    assert sum(r["pairs"] for r in rep) == len(want)
-
-
 def test_nothing(make):
     assert similarity.near_duplicate_pairs(make([])).count() == 0
-    assert similarity.split_overlaps(make([record("a", None, "train")])).count() == 0
     assert similarity.groups(make([record("a", "x")])).count() == 0
 
 
