@@ -1,4 +1,4 @@
-"""Population statistics over arrays, with 0 instead of a missing value."""
+"""Ratios with a defined value where the denominator is 0."""
 
 from __future__ import annotations
 
@@ -11,35 +11,6 @@ def ratio(a: Column, b: Column, otherwise: float = 0.0) -> Column:
     return F.when(b == 0, F.lit(float(otherwise))).otherwise(a / F.when(b != 0, b))
 
 
-def summary(xs: Column) -> Column:
-    """struct<n, s, q, lo, hi> of an array of whole numbers: count, sum, sum of squares, least, greatest; one pass."""
-    zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("s"), F.lit(0).cast("long").alias("q"), F.lit(None).cast("long").alias("lo"), F.lit(None).cast("long").alias("hi"))
-
-    def step(a, x):
-        v = x.cast("long")
-        return F.struct((a["n"] + 1).alias("n"), (a["s"] + v).alias("s"), (a["q"] + v * v).alias("q"), F.least(a["lo"], v).alias("lo"), F.greatest(a["hi"], v).alias("hi"))
-
-    return F.aggregate(xs, zero, step)
-
-
-def mean(t: Column) -> Column:
-    """Mean of a summary; 0 if it is empty."""
-    return ratio(t["s"], t["n"])
-
-
-def pstd(t: Column) -> Column:
-    """Population standard deviation of a summary, from whole-number sums; 0 for fewer than two values."""
-    return F.when(t["n"] < 2, 0.0).otherwise(F.sqrt((t["n"] * t["q"] - t["s"] * t["s"]).cast("double")) / F.greatest(t["n"], F.lit(1)))
-
-
-def low(t: Column) -> Column:
-    return F.coalesce(t["lo"].cast("double"), F.lit(0.0))
-
-
-def high(t: Column) -> Column:
-    return F.coalesce(t["hi"].cast("double"), F.lit(0.0))
-
-
 def variation(m: Column, s: Column) -> Column:
     """Coefficient of variation; 0 for a mean of 0."""
     return ratio(s, F.abs(m))

@@ -1,4 +1,4 @@
-"""Sentences and words as native columns: no Python at run time, no shuffle.
+"""Sentences and words as native columns, and tables of them. No shuffle.
 
 Offsets are code points, end exclusive. A text that is null gives null arrays;
 a blank text gives empty ones.
@@ -67,29 +67,16 @@ def paragraphs(text: Column) -> Column:
     return F.filter(F.split(text, r"\n[ \t]*\n+"), lambda p: F.regexp_like(p, F.lit(rf"[^{SPACE}]")))
 
 
-def word_spans(text: Column, base: Column) -> Column:
-    """array<struct<text, start, end>>: words with offsets, counted from base: one step per word over the words and the gaps before them."""
-    found = F.zip_with(words(text), F.split(text, WORD), lambda w, gap: F.struct(w.alias("w"), F.length(gap).alias("g")))
-    start = F.struct(base.cast("int").alias("at"), F.array().cast("array<struct<text:string,start:int,end:int>>").alias("out"))
-
-    def step(acc, p):
-        at = acc["at"] + p["g"]
-        end = (at + F.length(p["w"])).cast("int")
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(p["w"].alias("text"), at.cast("int").alias("start"), end.alias("end")))).alias("out"))
-
-    return F.aggregate(F.filter(found, lambda p: p["w"].isNotNull()), start, step, lambda acc: acc["out"])
-
-
 def explode_sentences(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(key, sid, start, end, sentence) of every sentence."""
-    one = df.select(F.col(key), F.explode(sentences(F.col(text))).alias("s"))
+    from . import batch
+
+    one = df.select(F.col(key), F.explode(batch.sentences(F.col(text))).alias("s"))
     return one.select(key, "s.sid", "s.start", "s.end", F.col("s.text").alias("sentence"))
 
 
 def explode_words(df: DataFrame, key: str, text: str = "text", offsets: bool = True) -> DataFrame:
     """(key, sid, pos, word, start, end): words of every sentence; no word crosses a sentence's end. Without offsets, start and end are left out."""
-    s = explode_sentences(df, key, text)
-    if not offsets:
-        return s.select(key, "sid", F.posexplode(words(F.col("sentence"))).alias("pos", "word"))
-    w = s.select(key, "sid", F.posexplode(word_spans(F.col("sentence"), F.col("start"))).alias("pos", "w"))
-    return w.select(key, "sid", "pos", F.col("w.text").alias("word"), F.col("w.start").alias("start"), F.col("w.end").alias("end"))
+    from . import batch
+
+    return batch.explode_words(df, key, text, offsets)

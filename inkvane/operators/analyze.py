@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from . import decision, features, scorers
-from .detector import Detector, compare
+from ..plans.lineage import cut
+from . import decision, evaluate, features, scorers, splits
+from .detector import Config as Settings
+from .detector import Detector, compare, train
 
 MOST_CHARS = 50_000  # the limit of a single request; batch tables pass None
 
@@ -40,6 +43,39 @@ class Registry:
             raise ValueError(f"{s.name}: features {unknown} are not given by scorer {s.scorer!r}")
         self.systems[s.name] = s
 
+    @classmethod
+    def from_folder(cls, folder: str, scorer: str = "none", **options) -> "Registry":
+        """A registry of the artifacts in a folder: document.json, and sentence.json beside it where there is one."""
+        at = Path(folder)
+        if not (at / "document.json").is_file():
+            raise FileNotFoundError(f"no document.json in {folder}")
+        sentence = Detector.load(str(at / "sentence.json")) if (at / "sentence.json").is_file() else None
+        out = cls()
+        out.add(System("classical", Detector.load(str(at / "document.json")), sentence, scorer, options))
+        return out
+
+    @classmethod
+    def trained(cls, records: DataFrame, scorer: str = "none", seed: int = 0, **options) -> "Registry":
+        """A registry of document and sentence models trained on the train split of records, such as the synthetic corpus."""
+        flat = splits.assign_splits(records.select("id", "group_id", "text", "label", "spans"), train=0.8, val=0.1, test=0.1, seed=seed).where("split = 'train'")
+        want = features.STATISTICAL + (features.PERPLEXITY if scorer != "none" else [])
+        probe = System("probe", Detector([], [], [], [], 0.0), None, scorer, options)
+        pure = flat.where("label in ('human', 'ai')").select("id", "text", (F.col("label") == "ai").cast("int").alias("y"))
+        document = train(cut(featurize(pure.select("id", "text"), "id", "text", probe).drop("text").join(pure.select("id", "y"), "id")), want, "y", "id", Settings(seed=seed), scorer)
+        sents = tx.explode_sentences(flat, "id").join(flat.select("id", "label", "spans"), "id")
+        sents = sents.select(F.concat_ws("#", "id", F.col("sid").cast("string")).alias("sk"), "sentence", evaluate.truth(F.col("label"), F.col("spans"), F.col("start"), F.col("end")).alias("y")).where("y is not null")
+        sentence = train(cut(featurize(sents.select("sk", "sentence"), "sk", "sentence", probe).drop("sentence").join(sents.select("sk", "y"), "sk")), want, "y", "sk", Settings(seed=seed), scorer)
+        out = cls()
+        out.add(System("classical", document, sentence, scorer, options))
+        return out
+
+    @classmethod
+    def from_environment(cls, environ: dict, demo: DataFrame) -> "Registry":
+        """From INKVANE_ARTIFACTS (a folder) if that is set, else trained on the demo corpus; INKVANE_SCORER names the scorer ('stub' if unset)."""
+        scorer = environ.get("INKVANE_SCORER", "stub")
+        folder = environ.get("INKVANE_ARTIFACTS")
+        return cls.from_folder(folder, scorer) if folder else cls.trained(demo, scorer)
+
     def get(self, name: str | None = None) -> System:
         if not self.systems or (name is not None and name not in self.systems):
             raise KeyError(f"unknown detector: {name}")

@@ -1,16 +1,7 @@
-"""Paraphrases, mixed documents and span handling. Random choices come from hashes of seed and place, so they don't depend on the partitioning.
-
-Where the draws of a seeded sequential generator are wanted, paraphrase_seeded
-and mix_seeded take them, as Arrow UDFs; the native forms follow the same rule
-with other draws.
-"""
+"""Paraphrases, mixed documents and span handling. Random choices come from hashes of seed and place, so they don't depend on the partitioning."""
 
 from __future__ import annotations
 
-import random
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,27 +35,6 @@ def paraphrase(text: Column, key: Column, seed: int = 0) -> Column:
     return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0)), swap), "")
 
 
-def paraphrase_seeded(text: Column, seed: Column) -> Column:
-    """The same with a generator per text, which is asked only for words that have a synonym."""
-
-    @F.pandas_udf("string")
-    def run(texts: pd.Series, seeds: pd.Series) -> pd.Series:
-        out = []
-        for t, s in zip(texts, seeds):
-            rng = random.Random(int(s))
-
-            def swap(m):
-                new = SYNONYMS.get(m[0].lower())
-                if new is None or rng.random() >= 0.5:
-                    return m[0]
-                return new[:1].upper() + new[1:] if m[0][0].isupper() else new
-
-            out.append(None if t is None else re.sub(r"[A-Za-z']+", swap, t))
-        return pd.Series(out, dtype=object)
-
-    return run(text, seed)
-
-
 def paraphrase_records(df: DataFrame, seed: int = 0, suffix: str = "-para", tool: str = "synonyms") -> DataFrame:
     """Paraphrase records of pure records: label, group and generation stay; transform names the parent. Mixed parents are an error."""
     text = F.when(F.col("label") == "mixed", F.raise_error(F.lit("a mixed record can't be paraphrased")).cast("string")).otherwise(paraphrase(F.col("text"), F.col("id"), seed))
@@ -113,36 +83,6 @@ def merge_spans(spans: DataFrame, key: str) -> DataFrame:
     return run.groupBy(key, "_run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.first("label").alias("label")).drop("_run")
 
 
-def mix_seeded(human: Column, ai: Column, seed: Column, separator: str = " ") -> Column:
-    """struct<text, spans> by a sequential generator per pair; human and ai are arrays of sentences."""
-
-    @F.pandas_udf("text string, spans array<struct<start:int,end:int,label:string>>")
-    def run(hs: pd.Series, as_: pd.Series, seeds: pd.Series) -> pd.DataFrame:
-        rows = []
-        for h, a, s in zip(hs, as_, seeds):
-            left = {"human": list(h), "ai": list(a)}
-            if not left["human"] or not left["ai"]:
-                raise ValueError("both texts need a sentence")
-            rng, text, spans = random.Random(int(s)), "", []
-            side = rng.choice(("human", "ai"))
-            while left["human"] or left["ai"]:
-                if not left[side]:
-                    side = "ai" if side == "human" else "human"
-                k = min(rng.randint(1, 3), len(left[side]))
-                block, left[side] = separator.join(left[side][:k]), left[side][k:]
-                start = len(text) + (len(separator) if spans else 0)
-                text += (separator if spans else "") + block
-                if spans and spans[-1]["label"] == side:
-                    spans[-1]["end"] = len(text)
-                else:
-                    spans.append({"start": start, "end": len(text), "label": side})
-                side = "ai" if side == "human" else "human"
-            rows.append((text, spans))
-        return pd.DataFrame(rows, columns=["text", "spans"])
-
-    return run(human, ai, seed)
-
-
 def round_robin(df: DataFrame, by: str, key: str, n: int, seed: int = 0) -> DataFrame:
     """n rows, one of each category in turn, in hashed order within the categories. Only ranks up to n leave their task."""
     r = F.row_number().over(Window.partitionBy(by).orderBy(shuffled(key, seed), key))

@@ -15,6 +15,9 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.lineage import cut
+from .ranges import ranked
+
 KIND, VERSION = "inkvane-baseline", 1
 QUANTILES = {"p05": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95}
 MARGIN = 0.25
@@ -91,27 +94,29 @@ def scaler(df: DataFrame, features: list[str]) -> tuple[list[float], list[float]
 
 
 def distributions(df: DataFrame, features: list[str], label: str = "label") -> DataFrame:
-    """(label, feature, mean, std, p05, p25, p50, p75, p95) per class, exact quantiles with linear steps between values."""
-    long = df.select(label, F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("x")) for f in features])).alias("v")).select(label, "v.feature", "v.x")
-    q = F.percentile("x", F.array(*[F.lit(v) for v in QUANTILES.values()]))
-    per = long.groupBy(label, "feature").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), q.alias("q"))
-    return per.select(label, "feature", "mean", "std", *[F.col("q")[i].alias(k) for i, k in enumerate(QUANTILES)])
+    """(label, feature, mean, std, p05, p25, p50, p75, p95) per class, exact quantiles with linear steps between values.
+
+    Values are put in order by range partitions of class, feature and value;
+    only the rows at the ranks that a quantile lies between are picked.
+    """
+    long = df.select(F.col(label).alias("_c"), F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("x")) for f in features])).alias("v")).select("_c", "v.feature", "v.x").where("x is not null")
+    rows = cut(ranked(long, ["_c", "feature", "x"], "rank"))
+    per = rows.groupBy("_c", "feature").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.min("rank").alias("start"), F.count("*").alias("n"))
+    spot = lambda q: (F.col("n") - 1) * F.lit(q)
+    picks = per.select("_c", "feature", "start", F.explode(F.array(*[F.struct(F.lit(k).alias("q"), spot(q).alias("at")) for k, q in QUANTILES.items()])).alias("s")).select("_c", "feature", "start", "s.q", "s.at")
+    picks = picks.withColumn("rank", F.explode(F.array_distinct(F.array(F.floor("at"), F.ceil("at"))))).withColumn("w", F.when(F.floor("at") == F.ceil("at"), 1.0).otherwise(1.0 - F.abs(F.col("at") - F.col("rank"))))
+    picks = picks.select("q", "w", (F.col("start") + F.col("rank")).alias("rank"))  # ten rows a class and feature
+    got = rows.join(F.broadcast(picks), "rank").groupBy("_c", "feature").agg(*[F.sum(F.when(F.col("q") == k, F.col("w") * F.col("x"))).alias(k) for k in QUANTILES])
+    return per.join(got, ["_c", "feature"]).select(F.col("_c").alias(label), "feature", "mean", "std", *QUANTILES)
 
 
 def folds(df: DataFrame, k: int, label: str, order: str) -> DataFrame:
     """df with `fold`: each class in contiguous blocks by order, of the sizes that a stratified unshuffled split gives them.
 
     Fold f gets as many of a class as the class has at places f, f + k, ... of
-    the labels in sorted order. Rows are range-partitioned by class and order;
-    a row's rank is its rank in the partition plus the counts of those before.
+    the labels in sorted order. The driver sees a count per class.
     """
-    parts = df.repartitionByRange(label, order).sortWithinPartitions(label, order).withColumn("_at", F.monotonically_increasing_id()).withColumn("_p", F.shiftright("_at", 33)).persist()
-    first = {r[0]: (r[1], r[2]) for r in parts.groupBy("_p").agg(F.min("_at"), F.count("*")).collect()}  # a row per partition
-    rank, at = F.lit(0).cast("long"), 0
-    for p in sorted(first):
-        rank = F.when(F.col("_p") == p, F.col("_at") - first[p][0] + at).otherwise(rank)
-        at += first[p][1]
-    counts = {r[0]: r[1] for r in parts.groupBy(label).count().collect()}
+    counts = {r[0]: r[1] for r in df.groupBy(label).count().collect()}
     at, fold = 0, F.lit(0)
     for y in sorted(counts):
         edge = at
@@ -119,7 +124,7 @@ def folds(df: DataFrame, k: int, label: str, order: str) -> DataFrame:
             edge += len(range((f - 1 - at) % k + at, at + counts[y], k))
             fold = F.when((F.col(label) == y) & (F.col("_rank") >= edge), f).otherwise(fold)
         at += counts[y]
-    return parts.withColumn("_rank", rank).withColumn("fold", fold).drop("_rank", "_at", "_p")
+    return ranked(df, [label, order], "_rank").withColumn("fold", fold).drop("_rank")
 
 
 def _fit(df: DataFrame, columns: list[str], y: str, reg: float, iterations: int):

@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from . import analyze, decision, detector, evaluate, features, metrics, splits, standin
+from ..plans.lineage import cut
+from . import analyze, decision, detector, evaluate, features, splits, standin
 
 #: The feature sets of the ablation systems. `neural` has none; `combined` is the mean of `neural` and `classical_full`.
 ABLATIONS = {"perplexity_only": features.PERPLEXITY, "style_only": features.STYLE + features.LEXICAL + features.REPETITION, "classical_full": features.STATISTICAL + features.PERPLEXITY, "neural": None, "combined": features.STATISTICAL + features.PERPLEXITY}
@@ -56,12 +57,14 @@ class Run:
         sents = tx.explode_sentences(flat, "id").withColumn("sk", F.concat_ws("#", "id", F.col("sid").cast("string")))
         self.sents = sents.join(analyze.featurize(sents.select("sk", "sentence"), "sk", "sentence", probe).drop("sentence"), "sk").join(flat.select("id", "label", "spans", "group_id", "model_family"), "id").withColumn("y", evaluate.truth(F.col("label"), F.col("spans"), F.col("start"), F.col("end"))).persist()
 
+        self.marks: dict[str, DataFrame] = {}
+
     def close(self) -> None:
         self.docs.unpersist()
         self.sents.unpersist()
 
-    def evaluate(self, ablation: str, assigned: DataFrame) -> dict:
-        """Trains one system on the train split and gives its slices on the test split."""
+    def evaluate(self, ablation: str, assigned: DataFrame, keep: bool = False) -> dict:
+        """Trains one system on the train split and gives its slices on the test split; keep: its sentence scores stay in self.marks."""
         names = names_of(ablation, self.config.scorer or "none")
         tags = assigned.select("id", "split")
         docs, sents = self.docs.join(tags, "id"), self.sents.join(tags, "id")
@@ -81,6 +84,8 @@ class Run:
         decided = decision.aggregate(marks, "id", "p", test.select("id", F.col("p").alias("doc_p"))).join(test.select("id", F.col("label").alias("truth")), "id")
         out = {k: [r.asDict() for r in d.collect()] for k, d in evaluate.slices(test, marks, decided).items()}  # a row each
         out["importances"] = importances
+        if keep:
+            self.marks[ablation] = cut(marks.select("id", "sid", "p"))
         test.unpersist()
         marks.unpersist()
         return out
@@ -93,10 +98,14 @@ def run(records: DataFrame, config: Config, common: list[str] | None = None, sco
         assigned = splits.assign_splits(records.select("id", "group_id"), train=c.train_ratio, val=0.0, test=round(1 - c.train_ratio, 12), seed=c.seed)
         result: dict = {"name": c.name, "created_at": datetime.now(timezone.utc).isoformat(), "config": asdict(c), "git_commit": _commit(), "ablations": {}}
         for a in c.ablations:
-            result["ablations"][a] = r.evaluate(a, assigned)
+            result["ablations"][a] = r.evaluate(a, assigned, keep=True)
             flat = records.select("id", "label", "group_id", F.col("generation.model_family").alias("model_family"))
             result["ablations"][a]["unseen_family"] = {f: r.evaluate(a, splits.family_holdout(flat, [f], seed=c.seed))["seen"] for f in c.holdout_families}
-        result["signal_overlap"] = [x.asDict() for x in overlap(r.docs).collect()]  # four rows
+        classical = next((a for a in ("classical_full", "style_only", "perplexity_only") if a in c.ablations), None)
+        result["signal_overlap"] = []
+        if "neural" in c.ablations and classical:
+            names = tuple(n for n in SIGNALS if n in r.sents.columns)
+            result["signal_overlap"] = [x.asDict() for x in overlap(r.marks["neural"], r.marks[classical], r.sents, ["id", "sid"], names, 40).collect()]  # a row per signal
     finally:
         r.close()
     if c.output_dir:
@@ -106,14 +115,33 @@ def run(records: DataFrame, config: Config, common: list[str] | None = None, sco
     return result
 
 
-def overlap(docs: DataFrame, signal: str = "rep_distinct_2", against: tuple[str, ...] = ("sent_std_len_words", "lex_ttr", "lex_mattr_w50", "style_stopword_ratio"), first: int = 40) -> DataFrame:
-    """(feature, n, r): correlation of a signal with features over the first documents by id, as the experiment defines it."""
-    head = docs.orderBy("id").limit(first)
-    out = None
-    for f in against:
-        one = metrics.correlation(head, signal, f).select(F.lit(f).alias("feature"), "n", "r")
-        out = one if out is None else out.unionByName(one)
-    return out
+#: The features of a sentence that the signal overlap looks at.
+SIGNALS = ("ppl_doc_perplexity", "ppl_mean_surprisal_bits", "lex_ttr", "sent_mean_len_words")
+
+
+def paired(a: DataFrame, b: DataFrame, key: list[str], p: str = "p") -> DataFrame:
+    """(key, p_a, p_b): two systems' scores of the same sentences. A sentence that only one of them scored is an error."""
+    both = a.select(*key, F.col(p).alias("p_a"), F.lit(True).alias("_a")).join(b.select(*key, F.col(p).alias("p_b"), F.lit(True).alias("_b")), key, "full")
+    one = F.col("_a").isNull() | F.col("_b").isNull()
+    return both.where(F.when(one, F.raise_error(F.concat(F.lit("scored by one system only: "), F.concat_ws("#", *key))).cast("boolean")).otherwise(True)).drop("_a", "_b")
+
+
+def overlap(neural: DataFrame, classical: DataFrame, signals: DataFrame, key: list[str], names: tuple[str, ...] = SIGNALS, first: int | None = None) -> DataFrame:
+    """(signal, n, r): correlation of a neural system's sentence probabilities with a classical system's and with features of the sentences.
+
+    neural, classical: (key, p); signals: (key, features). The first key column
+    names the document; first=n takes the first n documents in its order. A
+    side that is constant has correlation 0. One aggregation for all signals.
+    """
+    if first is not None:
+        docs = neural.select(key[0]).distinct().orderBy(key[0]).limit(first)
+        neural, classical = neural.join(F.broadcast(docs), key[0], "left_semi"), classical.join(F.broadcast(docs), key[0], "left_semi")  # n rows
+    rows = paired(neural, classical, key).join(signals.select(*key, *names), key)
+    columns = {"neural_vs_classical_prob": "p_b"} | {f"neural_vs_{n}": n for n in names}
+    sums = rows.agg(F.count("*").alias("n"), F.var_pop("p_a").alias("v"), *[f(c).alias(f"{k}{i}") for i, c in enumerate(columns.values()) for k, f in (("v", F.var_pop), ("c", lambda c: F.covar_pop("p_a", c)))])
+    ok = lambda i: (F.col("v") > 0) & (F.col(f"v{i}") > 0)
+    each = [F.struct(F.lit(name).alias("signal"), "n", F.when(ok(i), F.col(f"c{i}") / F.sqrt(F.when(ok(i), F.col("v") * F.col(f"v{i}")))).otherwise(0.0).alias("r")) for i, name in enumerate(columns)]
+    return sums.select(F.explode(F.array(*each)).alias("x")).select("x.signal", "x.n", "x.r")
 
 
 def plot_data(result: dict) -> list[tuple[str, float, float, float]]:

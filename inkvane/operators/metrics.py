@@ -2,37 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranges import running
+
 #: The bin edges as binary fractions have them, so that 0.3 falls below the edge 0.30000000000000004.
 EDGES = [i * 0.1 if i not in (3, 6, 7) else {3: 0.30000000000000004, 6: 0.6000000000000001, 7: 0.7000000000000001}[i] for i in range(11)]
 
 
-def _over(n: Column, d: Column) -> Column:
+def over(n: Column, d: Column) -> Column:
+    """n / d, 0 where d is 0."""
     return F.when(d == 0, 0.0).otherwise(n / F.when(d != 0, d))
 
 
 def auroc(df: DataFrame, y: str = "y", p: str = "p", by: list[str] | None = None) -> DataFrame:
     """Exact area under the ROC curve per group; null with one class only.
 
-    Equal probabilities are first counted together, so the window runs over
-    distinct probabilities; a pair of equal probabilities counts one half.
+    Equal probabilities are first counted together; a pair of equal
+    probabilities counts one half. The running sum goes over ranges of group
+    and probability, so that no task orders a whole group, however its scores
+    pile up.
     """
     by = by or []
     c = df.groupBy(*by, p).agg(F.sum(y).alias("pos"), F.sum(1 - F.col(y)).alias("neg"))
-    w = Window.partitionBy(*by).orderBy(p).rowsBetween(Window.unboundedPreceding, -1) if by else None
-    if not by:
-        # no group: running sums by range, so that no single task orders all
-        bucket = F.floor(F.least(F.greatest(F.col(p), F.lit(0.0)), F.lit(1.0)) * 4096)
-        c = c.withColumn("bucket", bucket)
-        t = c.groupBy("bucket").agg(F.sum("neg").alias("t")).withColumn("before", F.coalesce(F.sum("t").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("t")
-        inner = Window.partitionBy("bucket").orderBy(p).rowsBetween(Window.unboundedPreceding, -1)
-        c = c.join(F.broadcast(t), "bucket").withColumn("below", F.coalesce(F.sum("neg").over(inner), F.lit(0)) + F.col("before"))  # at most 4097 rows
-    else:
-        c = c.withColumn("below", F.coalesce(F.sum("neg").over(w), F.lit(0)))
-    s = c.groupBy(*by).agg(F.sum(F.col("pos") * F.col("below") + F.col("pos") * F.col("neg") / 2).alias("u"), F.sum("pos").alias("np"), F.sum("neg").alias("nn"))
-    return s.select(*by, F.when((F.col("np") > 0) & (F.col("nn") > 0), F.col("u") / (F.col("np") * F.when((F.col("np") > 0) & (F.col("nn") > 0), F.col("nn")))).alias("auroc"))
+    c = running(c, [*by, p], "neg", "below")
+    # a group begins at the least running sum of its rows
+    s = c.groupBy(*by).agg(F.sum(F.col("pos") * F.col("below") + F.col("pos") * F.col("neg") / 2).alias("u"), F.min("below").alias("start"), F.sum("pos").alias("np"), F.sum("neg").alias("nn"))
+    both = (F.col("np") > 0) & (F.col("nn") > 0)
+    return s.select(*by, F.when(both, (F.col("u") - F.col("np") * F.col("start")) / F.when(both, F.col("np") * F.col("nn"))).alias("auroc"))
 
 
 def confusion(df: DataFrame, y: str = "y", p: str = "p", by: list[str] | None = None, threshold: float = 0.5) -> DataFrame:
@@ -40,8 +38,8 @@ def confusion(df: DataFrame, y: str = "y", p: str = "p", by: list[str] | None =
     yes, hit = F.col(p) >= threshold, F.col(y) == 1
     n = lambda c: F.sum(c.cast("long"))
     s = df.groupBy(*(by or [])).agg(F.count("*").alias("n"), F.coalesce(n(yes & hit), F.lit(0)).alias("tp"), F.coalesce(n(yes & ~hit), F.lit(0)).alias("fp"), F.coalesce(n(~yes & ~hit), F.lit(0)).alias("tn"), F.coalesce(n(~yes & hit), F.lit(0)).alias("fn"), F.avg((F.col(p) - F.col(y)) * (F.col(p) - F.col(y))).alias("brier"))
-    s = s.withColumn("accuracy", _over(F.col("tp") + F.col("tn"), F.col("n"))).withColumn("precision", _over(F.col("tp"), F.col("tp") + F.col("fp"))).withColumn("recall", _over(F.col("tp"), F.col("tp") + F.col("fn")))
-    return s.withColumn("f1", _over(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall"))).withColumn("threshold", F.lit(float(threshold)))
+    s = s.withColumn("accuracy", over(F.col("tp") + F.col("tn"), F.col("n"))).withColumn("precision", over(F.col("tp"), F.col("tp") + F.col("fp"))).withColumn("recall", over(F.col("tp"), F.col("tp") + F.col("fn")))
+    return s.withColumn("f1", over(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall"))).withColumn("threshold", F.lit(float(threshold)))
 
 
 def classification(df: DataFrame, y: str = "y", p: str = "p", by: list[str] | None = None, threshold: float = 0.5) -> DataFrame:

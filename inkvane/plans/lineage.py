@@ -15,7 +15,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
-    return tempfile.mkdtemp(prefix="inkvane-checkpoint-")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return tempfile.mkdtemp(prefix="inkvane-checkpoint-")  # one machine, as in tests
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -6,13 +6,19 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import analyze, builders, decision, detector, evaluate, features, metrics, scorers, splits
+from ..operators import analyze, builders, decision, detector, evaluate, experiment, features, metrics, scorers, splits
+from ..operators.ranges import ranked
 from ..sources import files, schema
 from ..sources.tables import read_table
+from .lineage import cut
 
 #: A detector of given coefficients, so that scoring can be held against SQL.
 LITERAL = detector.Detector(["sent_mean_len_words", "lex_ttr", "rep_distinct_2", "style_avg_word_length"], [13.0, 0.8, 0.95, 4.0], [5.0, 0.15, 0.05, 0.7], [0.6, -0.4, 0.25, 0.8], -0.1, (1.2, 0.05))
 
+SECOND = detector.Detector(["sent_mean_len_chars", "style_punct_char_ratio"], [70.0, 0.03], [40.0, 0.03], [0.5, 0.7], 0.2)
+
+MOST_COMMON = 10_000
+
 
 def r9(c: Column | str) -> Column:
     c = F.col(c) if isinstance(c, str) else c
@@ -48,7 +54,11 @@ def _scores(spark, d):
 
 
 def _common(spark, d):
-    return [r[0] for r in read_table(spark, d, "lexicon").select(F.lower("token")).distinct().collect()]  # a fixed table
+    """The lexicon's words. They become literals, so a table of more than MOST_COMMON is an error."""
+    rows = read_table(spark, d, "lexicon").select(F.lower("token")).where("token is not null").distinct().limit(MOST_COMMON + 1).collect()
+    if len(rows) > MOST_COMMON:
+        raise ValueError(f"over {MOST_COMMON} common words")
+    return [r[0] for r in rows]
 
 
 def sentences(spark, d):
@@ -180,7 +190,7 @@ _FOUR = ["sent_mean_len_words", "lex_ttr", "rep_distinct_2", "style_avg_word_len
 
 
 def class_distributions(spark, d):
-    return rounded(detector.distributions(_labelled(spark, d), _FOUR))
+    return rounded(detector.distributions(_labelled(spark, d).select("label", *_FOUR), _FOUR))
 
 
 def scaler_stats(spark, d):
@@ -200,11 +210,6 @@ def linear_score_literals(spark, d):
     return f.select("doc_id", r9(LITERAL.score()).alias("score"), r9(LITERAL.probability()).alias("p_ai"))
 
 
-def top_importances(spark, d):
-    rows = [(i, n, abs(w)) for i, (n, w) in enumerate(LITERAL.importances(3))]
-    return spark.createDataFrame(rows, "k int, feature string, weight double")
-
-
 def fold_assignment(spark, d):
     docs = _docs(spark, d).select("doc_id", plain("label").alias("label")).where("label in ('human', 'ai')")
     return detector.folds(docs, 3, "label", "doc_id").select("doc_id", "label", F.col("fold").cast("int").alias("fold"))
@@ -241,8 +246,9 @@ def auroc_exact(spark, d):
     return rounded(metrics.auroc(_judged(spark, d)))
 
 
-def classification_by_label_family(spark, d):
-    return rounded(metrics.classification(_judged(spark, d).withColumn("half", F.pmod(F.length("id"), F.lit(2))), by=["half"]).drop("threshold"))
+def classification_by_source(spark, d):
+    j = _judged(spark, d).join(_records(spark, d).select("id", plain("source").alias("source")), "id").where("source is not null")
+    return rounded(metrics.classification(j, by=["source"]).drop("threshold"))
 
 
 def calibration_bins(spark, d):
@@ -273,12 +279,14 @@ def metric_input_check(spark, d):
 
 
 def rq6_corr(spark, d):
-    f = features.statistical(_docs(spark, d).where("text is not null").select("doc_id", "text")).drop("text")
-    out = None
-    for c in ("sent_std_len_words", "lex_ttr", "lex_mattr_w50", "style_stopword_ratio"):
-        one = metrics.correlation(f, "rep_distinct_2", c).select(F.lit(c).alias("feature"), "n", r9("r").alias("r"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """Two literal detectors' probabilities of every sentence, against each other and against features of the sentences."""
+    sents = tx.explode_sentences(_docs(spark, d), "doc_id")
+    f = cut(features.statistical(sents, "sentence", groups=("sentence", "lexical", "repetition", "style")).drop("sentence"))
+    key = ["doc_id", "sid"]
+    second, literal = (m.predict(f, "p").select(*key, "p") for m in (SECOND, LITERAL))
+    bits = scorers.sentence_statistics(_fixed(spark, d), "doc_id").select(*key, F.col("perplexity").alias("ppl_doc_perplexity"), F.col("mean_surprisal_bits").alias("ppl_mean_surprisal_bits"))
+    signals = f.join(bits, key, "left").na.fill({"ppl_doc_perplexity": 1.0, "ppl_mean_surprisal_bits": 0.0})
+    return experiment.overlap(second, literal, signals, key).select("signal", "n", r9("r").alias("r"))
 
 
 def record_violations(spark, d):
@@ -298,17 +306,10 @@ def paraphrase_native(spark, d):
     return _docs(spark, d).where("text is not null").select("doc_id", builders.paraphrase(F.col("text"), F.col("doc_id")).alias("text"))
 
 
-def _positions(df: DataFrame, order: str) -> DataFrame:
-    """df with k, the place in order from 0: ranks in range partitions and the counts before them, no task sees all rows."""
-    parts = df.repartitionByRange(order).withColumn("_p", F.spark_partition_id())
-    before = parts.groupBy("_p").agg(F.count("*").alias("c")).withColumn("_b", F.coalesce(F.sum("c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("c")
-    return parts.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(order)) - 1).join(F.broadcast(before), "_p").withColumn("k", F.col("_r") + F.col("_b")).drop("_p", "_r", "_b")
-
-
 def mixed_native(spark, d):
     docs = _docs(spark, d).where("text is not null").select("doc_id", plain("label").alias("label"), "text")
-    h = _positions(docs.where("label = 'human'").select("doc_id", F.col("text").alias("h")), "doc_id")
-    a = _positions(docs.where("label = 'ai'").select(F.col("doc_id").alias("ai_id"), F.col("text").alias("a")), "ai_id")
+    h = ranked(docs.where("label = 'human'").select("doc_id", F.col("text").alias("h")), ["doc_id"], "k")
+    a = ranked(docs.where("label = 'ai'").select(F.col("doc_id").alias("ai_id"), F.col("text").alias("a")), ["ai_id"], "k")
     m = builders.mix(h.join(a, "k").select("doc_id", "h", "a"), "doc_id", "h", "a")
     return m.select("doc_id", "text", F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"), s["label"])), ",").alias("spans"))
 
@@ -334,18 +335,12 @@ def lineage(spark, d):
     return child.join(r.select(F.col("id").alias("parent_id"), F.col("group_id").alias("parent_group")), "parent_id").select("id", "parent_id", "kind", F.col("group_id").eqNullSafe(F.col("parent_group")).alias("same_group"))
 
 
-def run_ablations(spark, d):
+def run_score_means(spark, d):
     runs, s = read_table(spark, d, "experiment_runs"), _scores(spark, d)
     per = s.groupBy("run_id").agg(F.count("*").alias("n"), r9(F.avg("p_ai")).alias("mean_p_ai"))
     return runs.select("run_id", F.explode("ablations").alias("ablation")).join(per, "run_id").select("run_id", "ablation", "n", "mean_p_ai")
 
 
-def scorer_join_check(spark, d):
-    """Sentences that two systems scored: pairs of one record and number from different runs, and how far apart."""
-    s = _scores(spark, d).where("p_ai is not null").groupBy("record_id", "sent_no").agg(F.count("*").alias("n"), F.min("p_ai").alias("lo"), F.max("p_ai").alias("hi"))
-    return s.where("n > 1").agg(F.count("*").alias("pairs"), r9(F.coalesce(F.avg(F.col("hi") - F.col("lo")), F.lit(0.0))).alias("mean_gap"))
-
-
 def baseline_importances(spark, d):
     f = _labelled(spark, d).withColumn("y", (F.col("label") == "ai").cast("int"))
     m = detector.train(f, features.STATISTICAL, "y", "doc_id")
@@ -363,5 +358,5 @@ def analyze_bundle(spark, d):
 
 
 def queries() -> dict:
-    skip = {"queries", "r9", "rounded", "plain", "read_table"}
+    skip = {"queries", "r9", "rounded", "plain"}
     return {k: v for k, v in globals().items() if callable(v) and getattr(v, "__module__", "") == __name__ and not k.startswith("_") and k not in skip}

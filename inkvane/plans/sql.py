@@ -6,6 +6,7 @@ from ..functions.wordlists import ABBREVIATIONS, STOPWORDS, SYNONYMS
 
 SPACE = r"\t-\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 CLOSERS = r"""["''）)\]”’»]"""
+PUNCT = r"[!-/:-@\[-`{-~]"
 DIGITS = r"[\p{Nd}²³¹⁰⁴-⁹₀-₉]"
 WORD = r"[A-Za-z]+(?:''[A-Za-z]+)*|\p{Nd}+(?:[.,]\p{Nd}+)*"
 LIST = lambda xs: ", ".join("'" + x.replace("'", "''") + "'" for x in xs)
@@ -103,6 +104,15 @@ SELECT doc_id, {', '.join(f'{r9(e)} AS ppl_{n}' for n, e in {
     'doc_perplexity': 'exp(-lp)', 'mean_token_logprob': 'lp', 'mean_surprisal_bits': 'mb', 'std_surprisal_bits': 'sb', 'max_surprisal_bits': 'xb', 'sent_ppl_mean': 'm', 'sent_ppl_std': 's', 'sent_ppl_var': 's * s', 'sent_ppl_range': 'hi - lo', 'sent_ppl_min': 'lo', 'sent_ppl_max': 'hi',
     'sent_ppl_cv': 's / abs(m)', 'sent_ppl_burstiness': '(s - m) / (s + m)', 'entropy_mean': 'coalesce(em, 0.0)', 'entropy_std': 'coalesce(es, 0.0)', 'has_entropy': '(en > 0)::INT::DOUBLE'}.items())} FROM pt JOIN pd USING (doc_id)"""
 
+RQ6 = LEX + rf""", rq AS (SELECT doc_id, sid, sentence, end_pos - start_pos AS chars, list_transform(ws, lambda x: lower(x)) AS l, len(ws) AS n FROM wl),
+rf AS (SELECT doc_id, sid, chars, n AS words, {div('len(list_distinct(l))', 'n')} AS ttr, {div("len(list_distinct(list_transform(range(1, n), lambda i: l[i] || ' ' || l[i + 1])))", 'greatest(n - 1, 0)', '1.0')} AS d2,
+  {div('coalesce(list_sum(list_transform(l, lambda x: length(x))), 0)', 'n')} AS size, {div("length(sentence) - length(regexp_replace(sentence, '" + PUNCT + "', '', 'g'))", f"length(regexp_replace(sentence, '[{SPACE}]+', '', 'g'))")} AS punct FROM rq),
+rb AS (SELECT doc_id, sid, exp(-avg(logprob)) AS ppl, avg(-logprob / ln(2.0)) AS bits FROM sc GROUP BY doc_id, sid),
+rp AS (SELECT rf.*, coalesce(ppl, 1.0) AS ppl, coalesce(bits, 0.0) AS bits, 1 / (1 + exp(-((chars - 70.0) / 40.0 * 0.5 + (punct - 0.03) / 0.03 * 0.7 + 0.2))) AS a,
+  1 / (1 + exp(-(1.2 * ((words - 13.0) / 5.0 * 0.6 - (ttr - 0.8) / 0.15 * 0.4 + (d2 - 0.95) / 0.05 * 0.25 + (size - 4.0) / 0.7 * 0.8 - 0.1) + 0.05))) AS b FROM rf LEFT JOIN rb USING (doc_id, sid))
+""" + " UNION ALL ".join(f"SELECT '{k}' AS signal, count(*) AS n, {r9(f'coalesce(corr(a, {c}), 0.0)')} AS r FROM rp" for k, c in (("neural_vs_classical_prob", "b"), ("neural_vs_ppl_doc_perplexity", "ppl"), ("neural_vs_ppl_mean_surprisal_bits", "bits"), ("neural_vs_lex_ttr", "ttr"), ("neural_vs_sent_mean_len_words", "words")))
+
+
 REC = "rec AS (SELECT * FROM records WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY loaded_at DESC, row_no DESC) = 1)"
 SCO = "sco AS (SELECT * FROM sentence_scores QUALIFY row_number() OVER (PARTITION BY score_id ORDER BY scored_at DESC, p_ai DESC NULLS LAST) = 1)"
 DEC = """agg AS (SELECT record_id AS id, count(*) AS n_sentences, avg(p_ai) AS mean_p_ai, avg((p_ai >= 0.5)::INT) AS frac_ai_sentences, stddev_pop(p_ai) AS dispersion FROM sco WHERE p_ai IS NOT NULL AND record_id IS NOT NULL GROUP BY record_id),
@@ -211,7 +221,6 @@ SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1)::INT AS
         "scaler_stats": BASE + ALL + LAB + f" SELECT feature, {r9('avg(x)')} AS mean, {r9('stddev_pop(x)')} AS scale FROM longf GROUP BY feature",
         "feature_zscores": BASE + ALL + LAB + DIST + f", zz AS (SELECT l.doc_id, l.feature, {z('h')} AS zh, {z('a')} AS za FROM longf l JOIN dist h ON h.feature = l.feature AND h.label = 'human' JOIN dist a ON a.feature = l.feature AND a.label = 'ai') SELECT doc_id, feature, {r9('zh')} AS z_vs_human, {r9('za')} AS z_vs_ai, CASE WHEN abs(abs(zh) - abs(za)) < 0.25 THEN 'similar' WHEN abs(zh) < abs(za) THEN 'human' ELSE 'ai' END AS closer_to FROM zz",
         "linear_score_literals": BASE + ALL + f", z AS (SELECT doc_id, {SCORE} AS s FROM fs JOIN fl USING (doc_id) JOIN fr USING (doc_id) JOIN fy USING (doc_id)) SELECT doc_id, {r9('s')} AS score, {r9('1 / (1 + exp(-(1.2 * s + 0.05)))')} AS p_ai FROM z",
-        "top_importances": "SELECT (row_number() OVER (ORDER BY abs(w) DESC, i) - 1)::INT AS k, feature, abs(w)::DOUBLE AS weight FROM (VALUES (0, 'sent_mean_len_words', 0.6::DOUBLE), (1, 'lex_ttr', -0.4), (2, 'rep_distinct_2', 0.25), (3, 'style_avg_word_length', 0.8)) v(i, feature, w) QUALIFY row_number() OVER (ORDER BY abs(w) DESC, i) <= 3",
         "fold_assignment": f"""WITH d AS (SELECT doc_id, {plain('label')} AS label FROM documents WHERE {plain('label')} IN ('human', 'ai')), o AS (SELECT *, row_number() OVER (ORDER BY label, doc_id) - 1 AS g, row_number() OVER (PARTITION BY label ORDER BY doc_id) - 1 AS r FROM d),
 c AS (SELECT label, sum((g % 3 = 0)::INT) AS c0, sum((g % 3 = 1)::INT) AS c1 FROM o GROUP BY label) SELECT doc_id, label, CASE WHEN r < c0 THEN 0 WHEN r < c0 + c1 THEN 1 ELSE 2 END AS fold FROM o JOIN c USING (label)""",
         "decision_rule": f"WITH {SCO}, {DEC} SELECT id, n_sentences, label, {', '.join(f'{r11(c)} AS {c}' for c in ('mean_p_ai', 'frac_ai_sentences', 'dispersion', 'p_human', 'p_ai', 'p_mixed'))}, {r11('greatest(p_human, p_ai, p_mixed)')} AS confidence FROM dec",
@@ -219,13 +228,13 @@ c AS (SELECT label, sum((g % 3 = 0)::INT) AS c0, sum((g % 3 = 1)::INT) AS c1 FRO
         "mixed_rate": f"WITH {REC}, {SCO}, {DEC} SELECT count(*) AS n, {r9("coalesce(avg((dec.label = 'mixed')::INT), 0.0)")} AS frac_labelled_mixed FROM dec JOIN rec ON rec.id = dec.id WHERE {plain('rec.label')} = 'mixed'",
         "confusion_metrics": WITH_J + f", m AS (SELECT {METRICS} FROM j) SELECT {RATIOS}, 0.5::DOUBLE AS threshold FROM m",
         "auroc_exact": WITH_J + f" SELECT {r9('auroc')} AS auroc FROM {auroc('j')}",
-        "classification_by_label_family": WITH_J + f", g AS (SELECT *, (length(id) % 2)::INT AS half FROM j), m AS (SELECT half, {METRICS} FROM g GROUP BY half) SELECT half, {RATIOS}, {r9('auroc')} AS auroc FROM m JOIN {auroc('g', 'half')} a USING (half)",
+        "classification_by_source": WITH_J + f", g AS (SELECT j.*, {plain('r.source')} AS source FROM j JOIN rec r USING (id) WHERE r.source IS NOT NULL), m AS (SELECT source, {METRICS} FROM g GROUP BY source) SELECT source, {RATIOS}, {r9('auroc')} AS auroc FROM m JOIN {auroc('g', 'source')} a USING (source)",
         "calibration_bins": WITH_J + f" SELECT ({bins})::INT AS bin, {r9('avg(p)')} AS mean_predicted, {r9('avg(y)')} AS frac_positive, count(*) AS count FROM j GROUP BY 1",
         "per_family_metrics": WITH_J + f", fam AS (SELECT DISTINCT model_family AS f FROM j WHERE y = 1 AND model_family IS NOT NULL), g AS (SELECT f AS model_family, p, y FROM fam JOIN j ON y = 0 OR j.model_family = f), m AS (SELECT model_family, sum(y)::BIGINT AS n_ai, {METRICS} FROM g GROUP BY model_family) SELECT model_family, n, n_ai, {r9('(tp + tn)::DOUBLE / n')} AS accuracy, {r9(div('2 * tp', '2 * tp + fp + fn'))} AS f1, {r9('brier')} AS brier, {r9('auroc')} AS auroc FROM m JOIN {auroc('g', 'model_family')} a USING (model_family)",
         "sentence_truth": f"WITH {REC}, {SCO}, {TRUTH} SELECT score_id, label, y FROM st",
         "localization_metrics": f"WITH {REC}, {SCO}, {TRUTH}, g AS (SELECT p_ai AS p, y FROM st WHERE label = 'mixed' AND p_ai IS NOT NULL), m AS (SELECT {METRICS} FROM g) SELECT {RATIOS}, 0.5::DOUBLE AS threshold, {r9('auroc')} AS auroc FROM m, {auroc('g')} a",
         "metric_input_check": f"WITH {REC}, {SCO}, {TRUTH} SELECT CASE WHEN y IS NULL OR p_ai IS NULL THEN 'missing' WHEN p_ai < 0 OR p_ai > 1 THEN 'probability' END AS reason, count(*) AS n FROM st WHERE y IS NULL OR p_ai IS NULL OR p_ai < 0 OR p_ai > 1 GROUP BY 1",
-        "rq6_corr": BASE + ALL + ", q AS (SELECT * FROM fs JOIN fl USING (doc_id) JOIN fr USING (doc_id) JOIN fy USING (doc_id)) " + " UNION ALL ".join(f"SELECT '{c}' AS feature, count(*) AS n, {r9(f'coalesce(corr(rep_distinct_2, {c}), 0.0)')} AS r FROM q" for c in ("sent_std_len_words", "lex_ttr", "lex_mattr_w50", "style_stopword_ratio")),
+        "rq6_corr": BASE + RQ6,
         "record_violations": VIOLATIONS,
         "duplicate_ids": "SELECT id, count(*) AS n FROM records WHERE id IS NOT NULL GROUP BY id HAVING count(*) > 1",
         "merge_spans": f"""WITH {REC}, e AS (SELECT id, unnest(spans) AS s FROM rec), f AS (SELECT id, s."start" AS a, s."end" AS b, s.label AS label FROM e), l AS (SELECT *, lag(label) OVER (PARTITION BY id ORDER BY a) AS pl FROM f), g AS (SELECT *, sum((pl IS NULL OR pl <> label)::INT) OVER (PARTITION BY id ORDER BY a) AS r FROM l)
@@ -237,6 +246,5 @@ SELECT id, min(a) AS start_pos, max(b) AS end_pos, any_value(label) AS label FRO
 CASE WHEN src LIKE '%\\_human' ESCAPE '\\' THEN NULL WHEN regexp_matches(src, '^([a-z0-9_]+?)_machine_[a-z]+_(.+)') THEN regexp_extract(src, '^([a-z0-9_]+?)_machine_[a-z]+_(.+)', 2) ELSE 'unknown' END AS model, count(*) AS n FROM s WHERE src IS NOT NULL GROUP BY ALL""",
         "label_source_counts": f"WITH {REC} SELECT {plain('label')} AS label, {plain('source')} AS source, count(*) AS n FROM rec GROUP BY ALL",
         "lineage": f"WITH {REC} SELECT c.id, c.transform.parent_id AS parent_id, c.transform.kind AS kind, c.group_id IS NOT DISTINCT FROM p.group_id AS same_group FROM rec c JOIN rec p ON p.id = c.transform.parent_id",
-        "run_ablations": f"WITH {SCO}, per AS (SELECT run_id, count(*) AS n, {r9('avg(p_ai)')} AS mean_p_ai FROM sco GROUP BY run_id) SELECT r.run_id, unnest(r.ablations) AS ablation, n, mean_p_ai FROM experiment_runs r JOIN per USING (run_id)",
-        "scorer_join_check": f"WITH {SCO}, s AS (SELECT record_id, sent_no, count(*) AS n, min(p_ai) AS lo, max(p_ai) AS hi FROM sco WHERE p_ai IS NOT NULL GROUP BY record_id, sent_no) SELECT count(*) AS pairs, {r9('coalesce(avg(hi - lo), 0.0)')} AS mean_gap FROM s WHERE n > 1",
+        "run_score_means": f"WITH {SCO}, per AS (SELECT run_id, count(*) AS n, {r9('avg(p_ai)')} AS mean_p_ai FROM sco GROUP BY run_id) SELECT r.run_id, unnest(r.ablations) AS ablation, n, mean_p_ai FROM experiment_runs r JOIN per USING (run_id)",
     }

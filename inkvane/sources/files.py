@@ -4,17 +4,23 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from .schema import DDL, GENERATION, SPAN, TRANSFORM, duplicate_ids
+from .schema import DDL, GENERATION, SPAN, TRANSFORM, broken_rules, duplicate_ids
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """(path, line_no, line), line numbers from 1, blank lines counted. Files are read whole so that numbers hold; one file is one task."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
-    return whole.select("path", F.posexplode(F.split("value", "\r\n|\n|\r")).alias("k", "line")).select("path", (F.col("k") + 1).alias("line_no"), "line")
+    """(path, line_no, line), line numbers from 1, blank lines counted.
+
+    Files are read in Spark's splits: lines are counted per split, and a row
+    per split tells how many lines come before it in its file.
+    """
+    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("line"), F.monotonically_increasing_id().alias("at"))
+    per = raw.groupBy("path", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return raw.join(per.withColumn("before", before), ["path", "block"]).select("path", (F.col("before") + F.col("at") - F.col("first") + 1).alias("line_no"), "line")
 
 
 def read_jsonl_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -25,10 +31,20 @@ def read_jsonl_lines(spark: SparkSession, path: str) -> DataFrame:
     return parsed.select("path", "line_no", err.alias("error"), *[F.col(f"r.{c}").alias(c) for c in _names()])
 
 
-def read_jsonl(spark: SparkSession, path: str, unique: bool = True) -> DataFrame:
-    """Records of JSON-lines files, in Spark's splittable reader. With unique, ids that occur twice are an error. A missing path is an error."""
-    df = spark.read.schema(DDL).json(path)
-    df = df.withColumn("spans", F.coalesce("spans", F.array().cast(f"array<{SPAN}>"))).withColumn("meta", F.coalesce("meta", F.create_map().cast("map<string,string>")))
+def read_jsonl(spark: SparkSession, path: str, unique: bool = True, validate: bool = True) -> DataFrame:
+    """Validated records of JSON-lines files. A missing path is an error.
+
+    A line that is no record, or that breaks a rule of the schema, fails the
+    query that reads it with path:line and the rule. With unique, ids that
+    occur twice are an error at once. validate=False leaves the rules out.
+    """
+    rows = read_jsonl_lines(spark, path)
+    rows = rows.withColumn("spans", F.coalesce("spans", F.array().cast(f"array<{SPAN}>"))).withColumn("meta", F.coalesce("meta", F.create_map().cast("map<string,string>")))
+    wrong = F.when(F.col("error").isNotNull(), F.concat("error", F.lit(": invalid JSON or fields")))
+    if validate:
+        rule = F.get(broken_rules(), F.lit(0))
+        wrong = wrong.when(rule.isNotNull(), F.concat("path", F.lit(":"), F.col("line_no").cast("string"), F.lit(": "), rule))
+    df = rows.where(F.when(wrong.isNotNull(), F.raise_error(wrong).cast("boolean")).otherwise(True)).select(*_names())
     if unique and (twice := duplicate_ids(df).limit(1).collect()):
         raise ValueError(f"duplicate id: {twice[0]['id']}")
     return df
@@ -125,9 +141,13 @@ def model_family(raw: Column) -> Column:
     return F.when(raw.isNotNull(), out)
 
 
+#: Fixed value: the form of source names of machine text.
+SOURCE_NAME = r"^([a-z0-9_]+?)_machine_[a-z]+_(.+)"
+
+
 def parse_src(src: Column) -> Column:
     """struct<domain, model>: model is null for human text and 'unknown' where the name has no known form."""
-    form = r"^([a-z0-9_]+?)_machine_[a-z]+_(.+)"
+    form = SOURCE_NAME
     human, machine = F.endswith(src, F.lit("_human")), F.regexp_like(src, F.lit(form))
     return F.struct(
         F.when(human, F.regexp_replace(src, "_human$", "")).when(machine, F.regexp_extract(src, form, 1)).otherwise(src).alias("domain"),

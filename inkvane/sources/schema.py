@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,8 +29,8 @@ def is_paraphrase():
     return F.coalesce(F.col("transform.kind") == "paraphrase", F.lit(False))
 
 
-def violations(df: DataFrame) -> DataFrame:
-    """(id, reason): every broken rule of every record; ids that occur twice once per id. Row-local but for the last."""
+def broken_rules() -> Column:
+    """array<string>: the rules that a record breaks."""
     def empty(c):
         return F.coalesce(F.col(c), F.lit("")) == ""
 
@@ -54,7 +54,12 @@ def violations(df: DataFrame) -> DataFrame:
         "top_p out of range": (F.col("generation.top_p") < 0) | (F.col("generation.top_p") > 1),
         "unknown split": F.col("split").isNotNull() & ~F.coalesce(F.col("split").isin(*SPLITS), F.lit(False)),
     }
-    rows = df.select("id", F.explode(F.filter(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(k)) for k, c in rules.items()]), lambda r: r.isNotNull())).alias("reason"))
+    return F.filter(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(k)) for k, c in rules.items()]), lambda r: r.isNotNull())
+
+
+def violations(df: DataFrame) -> DataFrame:
+    """(id, reason): every broken rule of every record; ids that occur twice once per id. Row-local but for the last."""
+    rows = df.select("id", F.explode(broken_rules()).alias("reason"))
     return rows.unionByName(duplicate_ids(df).select("id", F.lit("duplicate id").alias("reason")))
 
 

@@ -151,8 +151,12 @@ def test_files(spark, tmp_path):
     back = files.read_jsonl(spark, out)
     assert sorted(map(str, back.select("id", "text", "spans", "label").collect())) == sorted(map(str, corpus.select("id", "text", "spans", "label").collect()))
     (tmp_path / "two.jsonl").write_text('{"id":"x","text":"t"}\n\n{"id":"x","text":"u"}\nnot json\n')
-    with pytest.raises(ValueError):
-        files.read_jsonl(spark, str(tmp_path / "two.jsonl"))
+    with pytest.raises(Exception, match=r"two\.jsonl:\d"):
+        files.read_jsonl(spark, str(tmp_path / "two.jsonl")).collect()
+    (tmp_path / "rule.jsonl").write_text('{"id":"x","text":"t","label":"human","source":"s","group_id":"g"}\n{"id":"y","text":"","label":"human","source":"s","group_id":"g"}\n')
+    with pytest.raises(Exception, match=r"rule\.jsonl:2: text is empty"):
+        files.read_jsonl(spark, str(tmp_path / "rule.jsonl"), unique=False).count()
+    assert files.read_jsonl(spark, str(tmp_path / "rule.jsonl"), validate=False).count() == 2
     lines = files.read_jsonl_lines(spark, str(tmp_path / "two.jsonl")).orderBy("line_no").collect()
     assert [r["line_no"] for r in lines] == [1, 3, 4] and lines[2]["error"].endswith("two.jsonl:4")
     (tmp_path / "t").mkdir()
@@ -184,17 +188,9 @@ def test_source_names(spark):
 
 def test_builders(spark):
     t = "Many old houses look big. However, night is very beautiful. Very quick end."
-    df = spark.createDataFrame([("a", t, 0), ("n", None, 1)], "id string, text string, seed int")
-    got = df.select(builders.paraphrase_seeded(F.col("text"), F.col("seed"))).collect()
-    rng = random.Random(0)
-    from inkvane.functions.wordlists import SYNONYMS
-    want = []
-    for w in __import__("re").split(r"([A-Za-z']+)", t):
-        new = SYNONYMS.get(w.lower())
-        if new is not None and rng.random() < 0.5:
-            w = new[0].upper() + new[1:] if w[0].isupper() else new
-        want.append(w)
-    assert got[0][0] == "".join(want) and got[1][0] is None
+    df = spark.createDataFrame([("a", t), ("n", None)], "id string, text string")
+    got = [r[0] for r in df.orderBy("id").select(builders.paraphrase(F.col("text"), F.col("id"))).collect()]
+    assert got[1] is None and got[0] != t and got[0].split()[-1] == "end." or got[0].split()[-1] == "finish."
     pairs = spark.createDataFrame([(k, "H one. H two. H three. H four.", "A one. A two.") for k in "pqr"] + [("z", "", "A one.")], "id string, h string, a string")
     mixed = builders.mix(pairs, "id", "h", "a").collect()
     assert sorted(r["id"] for r in mixed) == ["p", "q", "r"]
@@ -203,8 +199,6 @@ def test_builders(spark):
         assert all(a[2] != b[2] and b[0] == a[1] + 1 for a, b in zip(spans, spans[1:])) and spans[-1][1] == len(r["text"])
         for side, letter in (("human", "H"), ("ai", "A")):
             assert " ".join(r["text"][s:e] for s, e, k in spans if k == side).split(". ")[0].startswith(letter)
-    sents = pairs.where("id = 'p'").select(builders.mix_seeded(F.split("h", r"(?<=\.) "), F.split("a", r"(?<=\.) "), F.lit(4)).alias("m")).collect()[0]["m"]
-    assert len(sents["text"]) == sents["spans"][-1]["end"]
     with pytest.raises(Exception, match="mixed"):
         builders.paraphrase_records(spark.createDataFrame([("m", "t", "mixed", None)], "id string, text string, label string, transform string")).collect()
     rr = builders.round_robin(spark.createDataFrame([(i, "ab"[i % 4 == 0]) for i in range(20)], "id int, c string"), "c", "id", 5).collect()
@@ -288,3 +282,60 @@ def test_cli(capsys):
         cli.main(["features"])
     with pytest.raises(SystemExit):
         cli.main(["evaluate", "a", "b", "--split", "odd"])
+
+
+def test_line_numbers_over_splits(spark, tmp_path):
+    for name, n in (("a", 4000), ("b", 10)):
+        (tmp_path / f"{name}.jsonl").write_text("".join(f'{{"id":"{name}{i}"}}\n' + ("\n" if i % 7 == 0 else "") for i in range(n)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        rows = files.read_jsonl_lines(spark, str(tmp_path)).select("path", "line_no", "id").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(rows) == 4010
+    for r in rows:
+        i = int(r["id"][1:])
+        assert r["line_no"] == i + 1 + (i + 6) // 7
+
+
+def test_midpoints(spark):
+    sents = spark.createDataFrame([("a", 0, 0, 10), ("a", 1, 11, 20), ("b", 0, 5, 8)], "id string, sid int, start int, end int")
+    toks = spark.createDataFrame([("a", 8, 11, "x"), ("a", 9, 12, "y"), ("a", 10, 13, "z"), ("b", 0, 4, "before"), ("b", 5, 9, "in"), ("c", 0, 1, "none"), ("b", 7, 9, "out")], "id string, start int, end int, word string")
+    got = {(r["id"], r["word"]): r["sid"] for r in scorers.attribute(toks, sents, "id").collect()}
+    assert got == {("a", "x"): 0, ("a", "z"): 1, ("b", "in"): 0}
+    halves = scorers.external(lambda texts: [[{"text": t[i : i + 3], "start": i, "end": min(len(t), i + 3), "logprob": -1.0, "entropy": None} for i in range(0, len(t), 3)] for t in texts])
+    rows = halves(spark.createDataFrame([("a", "Ab cd. Ef gh."), ("n", None)], "id string, text string"), "id").collect()
+    assert {(r["start"], r["sid"]) for r in rows} == {(0, 0), (3, 0), (6, 1), (9, 1), (12, 1)}
+
+
+def test_signal_overlap(spark):
+    a = spark.createDataFrame([("d", i, 0.1 * i) for i in range(5)] + [("e", 0, 0.9)], "id string, sid int, p double")
+    b = a.withColumn("p", 1 - F.col("p"))
+    f = a.select("id", "sid", (F.col("p") * 2).alias("x"), F.lit(1.0).alias("flat"))
+    got = {r["signal"]: (r["n"], round(r["r"], 9)) for r in experiment.overlap(a, b, f, ["id", "sid"], ("x", "flat")).collect()}
+    assert got == {"neural_vs_classical_prob": (6, -1.0), "neural_vs_x": (6, 1.0), "neural_vs_flat": (6, 0.0)}
+    assert experiment.overlap(a, b, f, ["id", "sid"], ("x",), first=1).collect()[0]["n"] == 5
+    with pytest.raises(Exception, match="one system only"):
+        experiment.overlap(a, b.where("sid < 4"), f, ["id", "sid"], ("x",)).collect()
+
+
+def test_robustness_report(spark):
+    sc = spark.createDataFrame([("human", None, 0.2), ("human", None, 0.6), ("ai", "x", 0.9), ("ai", "y", 0.4)], "label string, model_family string, p double")
+    sents = spark.createDataFrame([("mixed", [(0, 10, "ai")], 0, 5, 0.8), ("mixed", [(0, 10, "ai")], 12, 15, 0.1)], "label string, spans array<struct<start:int,end:int,label:string>>, start int, end int, p double")
+    dec = spark.createDataFrame([("mixed", "mixed"), ("mixed", "ai"), ("ai", "ai")], "truth string, label string")
+    got = {r["slice"]: r for r in evaluate.robustness(sc, sents, dec, sc.where("p < 0.7"), sc.where("false")).collect()}
+    assert set(got) == {"seen_overall", "family:x", "family:y", "localization", "mixed_doc_labels", "ood", "ood_paraphrased"}
+    assert got["family:x"]["auroc"] == 1.0 and got["localization"]["auroc"] == 1.0 and got["mixed_doc_labels"]["frac_labelled_mixed"] == 0.5
+    assert got["ood"]["n"] == 3 and got["ood_paraphrased"]["n"] == 0
+
+
+def test_quantiles_across_partitions(spark):
+    import numpy as np
+
+    rng = random.Random(8)
+    rows = [("ab"[i % 3 == 0], rng.choice([0.0, 1.0, rng.random()]), float(i % 5)) for i in range(997)]
+    got = {(r["label"], r["feature"]): r for r in detector.distributions(spark.createDataFrame(rows, "label string, u double, v double").repartition(7), ["u", "v"]).collect()}
+    for k, (c, name) in enumerate([("a", "u"), ("b", "u"), ("a", "v"), ("b", "v")]):
+        x = [r[1 if name == "u" else 2] for r in rows if r[0] == c]
+        for q, v in detector.QUANTILES.items():
+            assert got[c, name][q] == pytest.approx(np.quantile(x, v))

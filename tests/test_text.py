@@ -1,12 +1,14 @@
 """Segmentation and words against a character scanner written from the rules, on rule tables and random texts."""
 
+import random
 import re
+import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from inkvane.functions import text as tx
+from inkvane.functions import batch, text as tx
 from inkvane.functions.wordlists import ABBREVIATIONS
 
 CLOSERS = "\"'）)]”’»"
@@ -78,5 +80,29 @@ def test_words(spark):
     texts = ["Don't stop at 1,234.5 or ٣٤ caf\xe9s", "a'b'c d' 12", ""]
     want = [[(m.group(), m.start(), m.end()) for m in re.finditer(r"[A-Za-z]+(?:'[A-Za-z]+)*|\d+(?:[.,]\d+)*", t)] for t in texts]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
-    got = [[tuple(w) for w in r["w"]] for r in df.orderBy("i").select(tx.word_spans(F.col("text"), F.lit(0)).alias("w")).collect()]
+    got = [[] for _ in texts]
+    for r in tx.explode_words(df, "i").orderBy("i", "sid", "pos").collect():
+        got[r["i"]].append((r["word"], r["start"], r["end"]))
     assert got == want
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet="abZ .!?'\"\n\t)”é3Drmx\xa0\x1c\ue000\ue001😀", max_size=80))
+def test_batches_cut_as_the_scanner(t):
+    assert [(a, b, t[a:b]) for a, b in batch.sentence_spans(t)] == [tuple(x)[-3:] for x in scan(t)]
+
+
+def test_batches_cut_as_the_columns(spark):
+    rng = random.Random(5)
+    texts = ["".join(rng.choice(["Mr", "dr.", "a", " ", ". ", "'", "''", "etc.", "\n\n", "?!", ")", "\x85", "St. "]) for _ in range(40)) for _ in range(300)] + ["'" * 20 + "a. B", "x" * 90 + ". Y", None, ""]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    rows = df.select("i", tx.sentences(F.col("text")).alias("a"), batch.sentences(F.col("text")).alias("b")).collect()
+    assert all(r["a"] == r["b"] for r in rows)
+
+
+def test_a_text_of_a_megabyte():
+    """Time grows with the length of a text, not with its square."""
+    t = "Some words stand here, and more of them follow. " * 20000
+    at = time.process_time()
+    got = batch.text_features([t], ("sentence", "lexical", "repetition", "style"))
+    assert time.process_time() - at < 20 and got["sent_count"][0] == 20000
