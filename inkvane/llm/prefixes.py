@@ -226,60 +226,78 @@ class Index:
                             yield Block(row, self.table)
 
 
-def meet(keys, at, block: Block, threshold: float):
+class Probe:
+    """Texts that probe: their runs in order, and the postings of their prefixes by row."""
+
+    def __init__(self, keys, at, threshold: float):
+        self.keys, self.at, self.n, self.threshold = keys, at, np.diff(at), threshold
+        self.row, self.place = cp.expand(np.minimum(prefix(self.n, threshold), self.n))
+        self.tokens, self.token = np.unique(keys[at[self.row] + self.place], return_inverse=True)
+
+
+def meet(probe: Probe, block: Block):
     """(row, doc, similarity): all pairs of a probing row and a block's text that reach the threshold."""
-    n = np.diff(at)
-    near = np.flatnonzero((n > 0) & (n >= np.ceil(block.least * threshold - 1e-9)) & (n * threshold <= block.most + 1e-9))
-    if not len(near):
+    n, threshold, docs = probe.n, probe.threshold, len(block.sizes)
+    near = (n > 0) & (n >= np.ceil(block.least * threshold - 1e-9)) & (n * threshold <= block.most + 1e-9)
+    if not near.any():
         return
     # places that can hold the first common run with a text of this block's sizes, and some beyond
-    low = np.maximum(block.least, np.ceil(n[near] * threshold - 1e-9).astype(np.int64))
-    take = np.minimum(n[near] - least_overlap(n[near], low, threshold) + 1 + BEYOND, np.minimum(prefix(n[near], threshold), n[near]))
-    row, place = cp.expand(take)
-    key = keys[at[near][row] + place]
-    tokens, inverse = np.unique(key, return_inverse=True)
-    pos = np.minimum(np.searchsorted(block.tokens, tokens), len(block.tokens) - 1)
-    known = block.tokens[pos] == tokens
-    count = np.where(known, block.starts[pos + 1] - block.starts[pos], 0)[inverse]
-    start = block.starts[pos][inverse]
-    some = count > 0
-    row, count, start = row[some], count[some], start[some]
-    if not len(row):
+    low = np.maximum(block.least, np.ceil(n * threshold - 1e-9).astype(np.int64))
+    take = np.minimum(n - least_overlap(n, low, threshold) + 1 + BEYOND, np.minimum(prefix(n, threshold), n))
+    pos = np.minimum(np.searchsorted(block.tokens, probe.tokens), len(block.tokens) - 1)
+    count = np.where(block.tokens[pos] == probe.tokens, block.starts[pos + 1] - block.starts[pos], 0)[probe.token]
+    some = np.flatnonzero((count > 0) & (probe.place < np.where(near, take, 0)[probe.row]))
+    if not len(some):
         return
-    docs = len(block.sizes)
+    rows = np.flatnonzero(near)
+    row, count, start = (np.cumsum(near) - 1)[probe.row[some]], count[some], block.starts[pos][probe.token[some]]
     total = np.concatenate(([0], np.cumsum(count)))
-    first = np.searchsorted(row, np.arange(len(near) + 1))  # postings of each row
+    first = np.searchsorted(row, np.arange(len(rows) + 1))  # postings of each row
+    most = np.minimum(block.most, np.floor(n / threshold + 1e-9).astype(np.int64))
+    fewest = np.minimum(_fewest(n, low, take, threshold), _fewest(n, np.maximum(low, most), take, threshold))
     done = 0
-    while done < len(near):
-        stop = int(np.searchsorted(total[first], total[first[done]] + CHUNK, "right")) - 1
-        stop = min(max(stop, done + 1), done + max(1, CHUNK // docs), len(near))
+    while done < len(rows):
+        stop = int(np.searchsorted(total[first], total[first[done]] + 4 * CHUNK, "right")) - 1
+        stop = min(max(stop, done + 1), done + max(1, CHUNK // docs), len(rows))
         a, b = first[done], first[stop]
         if b > a:
-            yield from _pairs(row[a:b], count[a:b], start[a:b], done, stop, near, n, take, at, keys, block, docs, threshold)
+            yield from _pairs(probe, block, rows[done:stop], take, fewest, row[a:b] - done, count[a:b], start[a:b])
         done = stop
 
 
-def _pairs(row, count, start, done, stop, near, n, take, at, keys, block, docs, threshold):
+def _behind(nx, ny, take, threshold):
+    """What stands behind the prefix that ends first can add to the overlap, and no more."""
+    return np.maximum(nx - take, ny - np.minimum(prefix(ny, threshold), ny))
+
+
+def _fewest(nx, ny, take, threshold):
+    """The meetings that a pair needs. Between two sizes ny it is never below the lesser of theirs less 2."""
+    return least_overlap(nx, ny, threshold) - _behind(nx, ny, take, threshold) - 2
+
+
+def _pairs(probe, block, rows, take, fewest, row, count, start):
+    docs, n, threshold = len(block.sizes), probe.n, probe.threshold
     part = np.cumsum(count)
-    cut = [0]  # a row of very many meetings is counted in several goes
-    while cut[-1] < len(row):
-        cut.append(max(cut[-1] + 1, int(np.searchsorted(part, (part[cut[-1] - 1] if cut[-1] else 0) + 2 * CHUNK, "right"))))
-    met = 0
-    for a, b in zip(cut, cut[1:]):
-        which, place = cp.expand(count[a:b])
-        met = met + np.bincount((row[a:b] - done)[which] * docs + block.docs[start[a:b][which] + place], minlength=(stop - done) * docs)
-    pair = np.flatnonzero(met)
-    c, x, y = met[pair], near[done + pair // docs], pair % docs
+    met, done = None, 0
+    while done < len(row):  # a row of very many meetings is counted in several goes
+        stop = max(done + 1, int(np.searchsorted(part, (part[done - 1] if done else 0) + 8 * CHUNK, "right")))
+        which, place = cp.expand(count[done:stop])
+        cell = (row[done:stop] * docs)[which]
+        place += start[done:stop][which]
+        cell += block.docs[place]
+        got = np.bincount(cell, minlength=len(rows) * docs)
+        met, done = got if met is None else met + got, stop
+    pair = np.flatnonzero(met.reshape(len(rows), docs) >= np.maximum(fewest[rows], 1)[:, None])
+    x, y, c = rows[pair // docs], pair % docs, met[pair]
     nx, ny = n[x], block.sizes[y]
     need = least_overlap(nx, ny, threshold)
-    # what stands behind the prefix that ends first can add to the overlap, and no more
-    behind = np.maximum(nx - take[done + pair // docs], ny - np.minimum(prefix(ny, threshold), ny))
-    ok = (np.minimum(nx, ny) >= need) & (c + behind >= need)
+    ok = (np.minimum(nx, ny) >= need) & (c + _behind(nx, ny, take[x], threshold) >= need)
     x, y, need = x[ok], y[ok], need[ok]
     if not len(x):
         return
-    rows, rx = np.unique(x, return_inverse=True)
-    px, ox = _some(keys, at, rows)
+    keys, at = probe.keys, probe.at
+    texts, rx = np.unique(x, return_inverse=True)
+    px, ox = _some(keys, at, texts)
     mx = bitmaps(px, ox)
     keep = np.zeros(len(x), bool)
     for lo in range(0, len(x), 8192):
@@ -331,11 +349,12 @@ def _probe(folder, table, threshold, own):
         lens = np.diff(off)[one]
         text, place = cp.expand(lens)
         keys, at = ordered_runs(cps[off[one][text] + place], np.concatenate(([0], np.cumsum(lens))), table.value)
-        n, whole = np.diff(at), whole[one]
+        probe, whole = Probe(keys, at, threshold), whole[one]
+        n = probe.n
         if not len(n):
             return
         for block in index.blocks(math.ceil(int(n.min()) * threshold - 1e-9), int(n.max() / threshold + 1e-9)):
-            for x, y, s in meet(keys, at, block, threshold):
+            for x, y, s in meet(probe, block):
                 a, b = whole[x], block.classes[y]
                 ok = a < b if own else slice(None)
                 yield pa.RecordBatch.from_arrays([pa.nulls(len(a[ok]), ids.type), pa.array(a[ok]), pa.array(b[ok]), pa.array(s[ok])], NAMES)
