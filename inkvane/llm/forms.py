@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.lineage import cut
 from . import codepoints as cp
 from . import textform
 
@@ -50,14 +51,19 @@ def form_hashes(df: DataFrame, key: str = "id", text: str = "text") -> DataFrame
 def same_form_pairs(df: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
     """(id_a, id_b): pairs of distinct ids, id_a < id_b, whose texts differ as stored but have one form.
 
-    An id delivered several times counts once. Equal strings are no pair, so a
-    group of exact copies, of whatever size, gives rows only for its partners
-    stored in other characters. Forms stored in one way only are dropped by a
-    partial aggregation before anything is joined.
+    An id delivered several times counts once. Equal strings are no pair. The
+    ways in which a form is stored are paired first, each once, whatever the
+    number of its copies; only then come the ids of either, so that a group of
+    exact copies gives rows only for its partners stored in other characters.
+    Forms stored in one way only are dropped before any join. All texts are
+    hashed once, and the hashes are written to the checkpoint folder.
     """
-    h = form_hashes(df, key, text).groupBy("f1", "f2", "raw", "id").agg(F.lit(1).alias("one")).drop("one")
-    kinds = form_hashes(df, key, text).groupBy("f1", "f2").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).where("lo <> hi").select("f1", "f2")
-    h = h.join(kinds, ["f1", "f2"], "left_semi")
+    h = cut(form_hashes(df, key, text).groupBy("f1", "f2", "raw", "id").agg(F.lit(1).alias("one")).drop("one"))
+    ways = h.groupBy("f1", "f2", "raw").agg(F.lit(1).alias("one")).drop("one")
+    kinds = ways.groupBy("f1", "f2").agg(F.count("*").alias("n")).where("n > 1").select("f1", "f2")
+    ways = ways.join(kinds, ["f1", "f2"], "left_semi")
+    pairs = ways.withColumnRenamed("raw", "raw_a").join(ways.withColumnRenamed("raw", "raw_b"), ["f1", "f2"]).where("raw_a <> raw_b")
     a = h.select("f1", "f2", F.col("raw").alias("raw_a"), F.col("id").alias("id_a"))
     b = h.select("f1", "f2", F.col("raw").alias("raw_b"), F.col("id").alias("id_b"))
-    return a.join(b, ["f1", "f2"]).where("raw_a <> raw_b and id_a < id_b").select("id_a", "id_b").distinct()
+    both = pairs.join(a, ["f1", "f2", "raw_a"]).join(b, ["f1", "f2", "raw_b"])
+    return both.where("id_a < id_b").select("id_a", "id_b").distinct()
