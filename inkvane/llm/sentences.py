@@ -61,9 +61,13 @@ POOL = ""  # stands for the language of texts that have none and give no guess
 
 
 def _before(text: str, lo: int, at: int) -> str:
-    """The word, dotted word or number that ends at a place, looked for in the 40 characters before it."""
-    m = _BACK.match(text[max(lo, at - 40) : at][::-1])
-    return m.group()[::-1] if m else ""
+    """The word, dotted word or number that ends at a place."""
+    far = 40
+    while True:
+        m = _BACK.match(text[max(lo, at - far) : at][::-1])
+        if not m or m.end() < far - 1 or at - far <= lo:  # it ends before the window does
+            return m.group()[::-1] if m else ""
+        far *= 4
 
 
 def _plain(word: str) -> str:
@@ -496,7 +500,10 @@ class Splitter:
     @staticmethod
     def _shouted(part, i, j):
         """Capitals on both sides carry no case."""
-        left, right = re.search(r"([^\W\d_]{2,})\W*$", part[max(0, i - 30) : i]), WORD.match(part, j)
+        k = i
+        while k > 0 and not (part[k - 1].isalnum() or part[k - 1] == "_"):
+            k -= 1
+        left, right = re.search(r"([^\W\d_]{2,})$", _before(part, 0, k)), WORD.match(part, j)
         return bool(left and right and left.group(1).isupper() and right.group().isupper() and len(right.group()) > 1)
 
     def _after_word(self, part, before, j, nxt, end, lower_style, caseless, opener):

@@ -1,4 +1,4 @@
-"""Problems 1 and 4: pairs of texts that share most of their 8-character runs.
+"""Problem 1: pairs of texts that share most of their 8-character runs.
 
 Similarity is the Jaccard index of the sets of distinct runs of 8 adjacent
 characters of the compared form (textform.compared).
@@ -40,6 +40,8 @@ PERMUTATIONS, BINS = 8, 16
 KEY_BITS = 35
 BITMAP_BITS = 2048
 FLUSH = 2_000_000
+#: Bytes of text files whose super-runs, some three times as many bytes, make one tile partition; and the most partitions.
+TILE_BYTES, MOST_TILES = 1 << 25, 20_000
 FILLER = 0xFFFFFFFF
 
 
@@ -313,10 +315,23 @@ def _counted(batches):
             yield pa.RecordBatch.from_arrays([pa.array(both.view(np.int64))], ["pair"])
 
 
+def tile_partitions(texts: DataFrame) -> int:
+    """Partitions for tiles: those of the session, or more where the texts' files are so large that a tile's blocks would pass TILE_BYTES."""
+    size = int(str(texts._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= 1 << 50:  # tables that are not files have no known size
+        size = 0
+    return max(shuffle_partitions(texts.sparkSession), min(MOST_TILES, -(-size // TILE_BYTES)))
+
+
 def candidates(texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(pair): document words a << 32 | b that share MEETINGS super-runs. texts: (text, side), side 0, or 1 and 2 to be joined."""
-    spark = texts.sparkSession
-    parts = shuffle_partitions(spark)
+    """(pair): document words a << 32 | b that share MEETINGS super-runs. texts: (text, side), side 0, or 1 and 2 to be joined.
+
+    The super-runs are made for similarities from THRESHOLD on; a lower
+    threshold is refused, as pairs would be missed in silence.
+    """
+    if threshold < THRESHOLD:
+        raise ValueError(f"super-runs find pairs from a similarity of {THRESHOLD} on; use exact=True for less")
+    parts = tile_partitions(texts)
     post = texts.mapInArrow(_postings(4 * parts), "bucket int, side byte, block binary").repartition(parts, "bucket")
     met = post.mapInArrow(lambda it: _tiles(it, 4 * parts), "part int, block binary").repartition(parts, "part")
     return met.mapInArrow(_counted, "pair long")
@@ -414,7 +429,7 @@ def _check(t, threshold):
 
 def verified(df: DataFrame, pairs: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(class_a, class_b, similarity) of the candidate pairs that reach the threshold."""
-    parts = shuffle_partitions(df.sparkSession)
+    parts = tile_partitions(df.select(text))
     docs = (
         df.select(F.lit("").alias("id"), F.col(text).alias("text")).where("text is not null")
         .mapInArrow(_classes(True), "class long, doc long, text string")
@@ -426,20 +441,31 @@ def verified(df: DataFrame, pairs: DataFrame, text: str = "text", threshold: flo
     return both.mapInArrow(_verify(threshold), "class_a long, class_b long, similarity double")
 
 
-def class_links(df: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """(class_a, class_b, similarity): all pairs of different texts that reach the threshold; copies are one class."""
-    pairs = candidates(df.where(F.col(text).isNotNull()).select(F.col(text).alias("text"), F.lit(0).cast("byte").alias("side")))
+def class_links(df: DataFrame, text: str = "text", threshold: float = THRESHOLD, exact: bool = False) -> DataFrame:
+    """(class_a, class_b, similarity): the pairs of different texts that reach the threshold; copies are one class.
+
+    Pairs next to the threshold may be missed, few of them (see the README for
+    measured recall). exact=True joins by prefixes instead and misses none, at
+    a cost that grows with the square of what stock phrases texts share.
+    """
+    if exact:
+        from . import prefixes
+
+        rows = df.where(F.col(text).isNotNull()).select(F.lit("").alias("id"), F.col(text).alias("text"))
+        own = cut(rows.mapInArrow(_classes(True), "class long, doc long, text string").select("class", "text"))
+        return prefixes.join(own, rows, threshold, own=True).where("id is null").select(F.col("class").alias("class_a"), F.col("other").alias("class_b"), "similarity").distinct()
+    pairs = candidates(df.where(F.col(text).isNotNull()).select(F.col(text).alias("text"), F.lit(0).cast("byte").alias("side")), threshold)
     return verified(df, pairs, text, threshold)
 
 
-def near_duplicate_pairs(df: DataFrame, key: str = "id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def near_duplicate_pairs(df: DataFrame, key: str = "id", text: str = "text", threshold: float = THRESHOLD, exact: bool = False) -> DataFrame:
     """(id_a, id_b), id_a < id_b: all pairs of records that reach the threshold, copies of one text included.
 
     Null, blank and short texts (compared form under 60 characters) take no
     part; an id delivered again counts once; other columns of df are not read.
     """
     m = cut(members(df, key, text))
-    links = class_links(df, text, threshold).select("class_a", "class_b")
+    links = class_links(df, text, threshold, exact).select("class_a", "class_b")
     copies = m.groupBy("class").count().where("count > 1").select(F.col("class").alias("class_a"), F.col("class").alias("class_b"))
     return _expand(links.unionByName(copies), m, m)
 
@@ -450,7 +476,7 @@ def _expand(links, left, right):
     return both.where("x <> y and (class_a <> class_b or x < y)").select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
 
 
-def groups(df: DataFrame, key: str = "id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def groups(df: DataFrame, key: str = "id", text: str = "text", threshold: float = THRESHOLD, exact: bool = False) -> DataFrame:
     """(id, class_id, links): each record that takes part with its near-duplicate group and its number of links.
 
     A group is a connected component of the links between different texts;
@@ -458,7 +484,7 @@ def groups(df: DataFrame, key: str = "id", text: str = "text", threshold: float
     class_id is the least id of the group.
     """
     m = cut(members(df, key, text))
-    links = cut(class_links(df, text, threshold).select("class_a", "class_b"))
+    links = cut(class_links(df, text, threshold, exact).select("class_a", "class_b"))
     size = m.groupBy("class").agg(F.count("*").alias("size"), F.min("id").alias("least"))
     # a link is an entity of its two classes
     ends = links.withColumn("entity", F.monotonically_increasing_id())

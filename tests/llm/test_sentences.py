@@ -115,3 +115,9 @@ def test_guess_reads_the_whole_text():
     frequent = {"en": frozenset({"the"}), "de": frozenset({"die"})}
     assert sentences.guess_language("the mill " * 2500 + "die wand " * 5000, frequent) == "de"
     assert sentences.guess_language("x " * 20_000, frequent) is None
+
+
+def test_words_of_any_length_are_looked_at_whole():
+    long = "q" * 500
+    assert sentences._before(f"x {long}.", 0, 502) == long and sentences._before("a.b" * 100 + ".", 0, 300) == "a.b" * 100
+    assert sentences._before(f"x {long}", 400, 502) == "q" * 102 and sentences._before("12,345.", 0, 6) == "12,345"

@@ -70,6 +70,16 @@ def test_groups(make):
         assert c == find(i) and n == sum(i in p for p in pairs)
 
 
+def test_the_exact_way(make):
+    rows = corpus(13, 40)
+    df = make([record(i, t) for i, t in rows])
+    for threshold in (0.3, 0.6):
+        got = [tuple(r) for r in similarity.near_duplicate_pairs(df, threshold=threshold, exact=True).collect()]
+        assert len(got) == len(set(got)) and set(got) == brute(rows, threshold)
+    with pytest.raises(ValueError):
+        similarity.near_duplicate_pairs(df, threshold=0.3)
+
+
 def test_nothing(make):
     assert similarity.near_duplicate_pairs(make([])).count() == 0
     assert similarity.groups(make([record("a", "x")])).count() == 0
