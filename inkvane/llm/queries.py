@@ -31,7 +31,7 @@ def p2_report(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
-    return forms.same_form_pairs(read_table(spark, folder, "records"))
+    return forms.same_form_pairs(read_table(spark, folder, "records"), shortest=similarity.SHORTEST)
 
 
 def p3_forms(spark: SparkSession, folder: str) -> DataFrame:

@@ -418,8 +418,9 @@ def _check(t, threshold):
     cls, text = t.column("class").to_numpy(), t.column("text").combine_chunks()
     a = np.flatnonzero(~second)
     key = pair * 1  # rows of a pair stand together, the first document's before the second's
-    hi = np.searchsorted(key, key[a], "right")
-    lo = np.searchsorted(key, key[a], "left") + np.array([(~second[x:y]).sum() for x, y in zip(np.searchsorted(key, key[a], "left"), hi)], int)
+    left, hi = np.searchsorted(key, key[a], "left"), np.searchsorted(key, key[a], "right")
+    firsts = np.concatenate(([0], np.cumsum(~second)))
+    lo = left + firsts[hi] - firsts[left]
     which, place = cp.expand(hi - lo)
     ia, ib = a[which], lo[which] + place
     s = _jaccard(text.take(pa.array(ia)), text.take(pa.array(ib)), threshold)

@@ -183,15 +183,18 @@ def _order_marks(cps, off, t):
 
 
 def _thai(cps, off):
-    """Nikhahit before a tone mark goes behind it, as sara am is typed."""
-    at = np.flatnonzero((cps[:-1] == NIKHAHIT) & (cps[1:] >= THAI_TONES.start) & (cps[1:] < THAI_TONES.stop)) if len(cps) > 1 else np.empty(0, int)
-    if len(at):
-        border = np.zeros(len(cps) + 1, bool)
-        border[off] = True
-        at = at[~border[at + 1]]
-        cps = cps.copy()
+    """Nikhahit before tone marks goes behind them, as sara am is typed; in rounds, past one mark each."""
+    border = None
+    while True:
+        at = np.flatnonzero((cps[:-1] == NIKHAHIT) & (cps[1:] >= THAI_TONES.start) & (cps[1:] < THAI_TONES.stop)) if len(cps) > 1 else np.empty(0, int)
+        if len(at) and border is None:
+            border = np.zeros(len(cps) + 1, bool)
+            border[off] = True
+            cps = cps.copy()
+        at = at[~border[at + 1]] if len(at) else at
+        if not len(at):
+            return cps
         cps[at], cps[at + 1] = cps[at + 1], NIKHAHIT
-    return cps
 
 
 def _hangul(cps, off):
@@ -300,7 +303,10 @@ def _full(cps, off, t):
         off = new[off]
     else:
         cps = t.first[cps]
-    cps = _thai(_order_marks(cps, off, t), off)
+    ordered = _order_marks(cps, off, t)
+    cps = _thai(ordered, off)
+    if cps is not ordered:  # a tone may now follow marks of a higher class
+        cps = _order_marks(cps, off, t)
     return _compose(*_hangul(_twins(cps, off, t), off), t)
 
 

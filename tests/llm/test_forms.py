@@ -32,7 +32,7 @@ def same(text):
         else:
             out.append(textform._decompose(ch))
     s = unicodedata.normalize("NFD", "".join(out))
-    for _ in range(4):
+    for _ in range(len(s)):
         for tone in map(chr, textform.THAI_TONES):
             s = s.replace("ํ" + tone, tone + "ํ")
     return unicodedata.normalize("NFC", s).replace("ํา", "ำ")
@@ -55,6 +55,12 @@ def test_round_trip_and_fixed_point(texts):
     assert textform.form_column(once).to_pylist() == once.to_pylist()
 
 
+def test_thai_marks_behind_several_tones():
+    f = lambda t: textform.form_column(pa.array([t])).to_pylist()[0]
+    assert f("\u0e4d\u0e49\u0e49") == "\u0e49\u0e49\u0e4d" and f("\u0e01\u0e4d\u0e49\u0e48\u0e32") == f("\u0e01\u0e49\u0e48\u0e33")
+    assert textform.form_column(pa.array(["\u0e01\u0e4d", "\u0e49"])).to_pylist() == ["\u0e01\u0e4d", "\u0e49"]
+
+
 def test_korean_syllables():
     f = lambda t: textform.form_column(pa.array([t])).to_pylist()[0]
     whole = [chr(c) for c in range(0xAC00, 0xD7A4)]
@@ -123,3 +129,11 @@ def test_look_alikes_under_accents():
     assert f("зел\u00ebный лес") == "зел\u0451ный лес" and f("caf\u0451 and лес") == "caf\u00eb and лес"
     for t in ("зел\u00ebный лес", "caf\u0451 and лес", "к\u00f3т \u03cc\u03bb\u03b1", "\u0451лка", "L\u00e9on лес"):
         assert f(t + "\u00a0") == f(t) + " "
+
+
+def test_short_texts_take_no_part(make):
+    whole = "Fünfzig Buchstaben und noch einige mehr stehen in diesem langen Satz hier"
+    n = len(textform.compared(*cp.decode(pa.array([whole]))[:2])[0])
+    df = make([record("a", whole), record("b", unicodedata.normalize("NFD", whole)), record("c", "Zu kurz, ü"), record("d", "Zu kurz, u\u0308")])
+    for shortest, want in ((0, {("a", "b"), ("c", "d")}), (n, {("a", "b")}), (n + 1, set())):
+        assert {tuple(r) for r in forms.same_form_pairs(df, shortest=shortest).collect()} == want
